@@ -60,28 +60,61 @@ def _chain(points: Column) -> Column:
     return F.aggregate(points, F.array().cast(RING), step)
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def convex_hull(points: Column) -> Column:
     """G1: counter-clockwise hull of an array of points; fewer than 3 hull points mean no area."""
-    ordered = F.array_sort(F.array_distinct(points))
-    lower = _chain(ordered)
-    upper = _chain(F.reverse(ordered))
-    hull = F.concat(F.slice(lower, 1, F.greatest(F.size(lower) - 1, F.lit(0))),
-                    F.slice(upper, 1, F.greatest(F.size(upper) - 1, F.lit(0))))
-    return F.when(F.size(ordered) < 3, ordered).otherwise(hull)
+    def open_end(chain: Column) -> Column:
+        return F.slice(chain, 1, F.greatest(F.size(chain) - 1, F.lit(0)))
+
+    def build(ordered: Column) -> Column:
+        return F.when(F.size(ordered) < 3, ordered).otherwise(
+            F.concat(let(_chain(ordered), open_end), let(_chain(F.reverse(ordered)), open_end)))
+
+    return let(F.array_sort(F.array_distinct(points)), build)
 
 
 def directions(k: int) -> list[tuple[float, float]]:
-    """Vertices of the structuring polygon for buffers: k = 4 is the mitred square, else a k-gon."""
+    """Vertices of the structuring polygon for buffers, from the lowest: k = 4 is the mitred square, else a k-gon."""
     if k == 4:
-        return [(1.0, 1.0), (-1.0, 1.0), (-1.0, -1.0), (1.0, -1.0)]
-    return [(round(math.cos(2 * math.pi * i / k), 15), round(math.sin(2 * math.pi * i / k), 15))
-            for i in range(k)]
+        return [(-1.0, -1.0), (1.0, -1.0), (1.0, 1.0), (-1.0, 1.0)]
+    turn = [2 * math.pi * i / k - math.pi / 2 for i in range(k)]
+    return [(round(math.cos(t), 15), round(math.sin(t), 15)) for t in turn]
+
+
+def _turn(dx: float, dy: float) -> float:
+    angle = math.atan2(dy, dx)
+    return angle + 2 * math.pi if angle < -1e-12 else max(angle, 0.0)
 
 
 def dilate(ring: Column, distance: float, k: int = 64) -> Column:
-    """Buffer of a convex ring, the hull of its vertices moved in k directions."""
-    steps = F.array(*[F.struct(F.lit(dx * distance).alias("x"), F.lit(dy * distance).alias("y"))
-                      for dx, dy in directions(k)])
-    moved = F.flatten(F.transform(ring, lambda p: F.transform(steps, lambda s: F.struct(
-        F.round(p["x"] + s["x"], 9).alias("x"), F.round(p["y"] + s["y"], 9).alias("y")))))
-    return convex_hull(moved)
+    """Buffer of a convex counter-clockwise ring (or of a segment given as two points).
+
+    The border of a sum of convex shapes runs through the edges of both in the
+    order of their direction, so sorting the edges and adding them up gives the ring.
+    """
+    shape = [(x * distance, y * distance) for x, y in directions(k)]
+    steps = [(shape[(i + 1) % len(shape)][0] - x, shape[(i + 1) % len(shape)][1] - y) for i, (x, y) in enumerate(shape)]
+    fixed = F.expr("array(" + ", ".join(
+        f"named_struct('t', {_turn(dx, dy)!r}D, 'dx', {dx!r}D, 'dy', {dy!r}D)" for dx, dy in steps) + ")")
+
+    def edge(a: Column, b: Column) -> Column:
+        angle = F.atan2(b["y"] - a["y"], b["x"] - a["x"])
+        turn = F.when(angle < -1e-12, angle + 2 * math.pi).otherwise(F.greatest(angle, F.lit(0.0)))
+        return F.struct(turn.alias("t"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+    own = F.filter(F.zip_with(ring, closed_next(ring), edge), lambda e: (e["dx"] != 0) | (e["dy"] != 0))
+    # Lowest vertex, leftmost among equals; the same corner of the shape starts the walk.
+    low = F.array_min(F.transform(ring, lambda p: F.struct(p["y"].alias("y"), p["x"].alias("x"))))
+    start = F.struct((low["x"] + shape[0][0]).alias("x"), (low["y"] + shape[0][1]).alias("y"))
+
+    def walk(acc: Column, e: Column) -> Column:
+        nxt = F.struct((acc["p"]["x"] + e["dx"]).alias("x"), (acc["p"]["y"] + e["dy"]).alias("y"))
+        return F.struct(nxt.alias("p"), F.concat(acc["r"], F.array(acc["p"])).alias("r"))
+
+    path = F.aggregate(F.array_sort(F.concat(own, fixed)), F.struct(start.alias("p"), F.array().cast(RING).alias("r")),
+                       walk, lambda acc: acc["r"])
+    return F.transform(path, lambda p: F.struct(F.round(p["x"], 9).alias("x"), F.round(p["y"], 9).alias("y")))

@@ -26,8 +26,7 @@ COMPONENT = ["model_id", "storey_id", "ord", "arm", "category", "raw_area", "coe
 
 def storey_facts(storeys: DataFrame, rules: DataFrame) -> DataFrame:
     """Storeys (with region, base_area, outside_area) with their height and balcony coefficients."""
-    facts = height_coefficients(storeys, rules)
-    return facts.join(balcony_coefficients(facts, rules), "region", "left")
+    return balcony_coefficients(height_coefficients(storeys, rules), rules)
 
 
 def arm_of(items: DataFrame, rules: DataFrame) -> DataFrame:

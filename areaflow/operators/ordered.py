@@ -69,52 +69,52 @@ def with_neighbours(df: DataFrame, keys: list[str], order: list[str], columns: l
     return out.drop("_pos")
 
 
-def greedy_keep(df: DataFrame, keys: list[str], order: list[str], columns: list[str],
+def greedy_keep(df: DataFrame, keys: list[str], order: list[str],
                 keeps: Callable[[Column, Column], Column], chunk: int = CHUNK,
                 peak: int | None = None) -> DataFrame:
     """Keep a row when `keeps(row, last kept row)` holds; the first row of a key is always kept.
 
-    `columns` are the columns `keeps` looks at.  Each key is cut into chunks of
-    `chunk` rows.  A chunk is folded from the last kept row before it, which is
-    first guessed and then replaced by the true exit of the previous chunk until
-    no entry changes: the first chunk is right from the start, so the fixpoint is
-    the sequential result.  A key inside one chunk needs no further pass.
+    A key of up to `chunk` rows is folded as one sorted array.  Larger keys are cut
+    into chunks by position.  A chunk is folded from the last kept row before it,
+    which is first guessed and then replaced by the true exit of the previous chunk
+    until no entry changes: the first chunk is right from the start, so the
+    fixpoint is the sequential result.
     """
     peak = largest_key(df, keys) if peak is None else peak
-    ranked = with_position(df, keys, order, "_pos", peak)
-    item = F.struct("_pos", *columns)
-    chunks = ranked.withColumn("_chunk", F.floor((F.col("_pos") - 1) / chunk)).groupBy(*keys, "_chunk").agg(
-        F.array_sort(F.collect_list(item)).alias("_items"))
-    item_type = chunks.schema["_items"].dataType.elementType.simpleString()
+    rest = [c for c in df.columns if c not in keys and c not in order]
+    item = F.struct(*order, *rest)
+    whole = peak <= chunk
+    placed = df.withColumn("_chunk", F.lit(0)) if whole else with_position(df, keys, order, "_pos", peak).withColumn(
+        "_chunk", F.floor((F.col("_pos") - 1) / chunk))
+    chunks = placed.groupBy(*keys, "_chunk").agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    array_type = chunks.schema["_items"].dataType
+    item_type = array_type.elementType
 
     def fold(entry: Column) -> Column:
-        start = F.struct(entry.alias("last"), F.array().cast("array<bigint>").alias("kept"))
+        start = F.struct(entry.alias("last"), F.array().cast(array_type).alias("kept"))
 
         def step(acc, row):
             ok = acc["last"].isNull() | keeps(row, acc["last"])
-            return F.struct(F.when(ok, row).otherwise(acc["last"]).alias("last"),
-                            F.when(ok, F.concat(acc["kept"], F.array(row["_pos"]))).otherwise(
-                                acc["kept"]).alias("kept"))
+            return F.when(ok, F.struct(row.alias("last"), F.concat(acc["kept"], F.array(row)).alias("kept"))).otherwise(acc)
 
         return F.aggregate("_items", start, step)
 
+    def kept_rows(folded: DataFrame) -> DataFrame:
+        rows = folded.select(*keys, F.explode("_f.kept").alias("_r"))
+        return rows.select(*[F.col(c) if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
+
     nothing = F.lit(None).cast(item_type)
-    if peak <= chunk:
-        folded = chunks.select(*keys, fold(nothing).alias("_f"))
-    else:
-        chunks = cut_lineage(chunks)
-        state = cut_lineage(chunks.select("*", nothing.alias("_entry")))
-        while True:
-            done = state.select(*keys, "_chunk", "_items", "_entry", fold(F.col("_entry")).alias("_f"))
-            exits = done.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
-                                (F.col("_chunk") + 1).alias("_c"), F.col("_f.last").alias("_exit"))
-            moved = cut_lineage(done.join(
-                exits, same_keys(keys, "_k_") & (F.col("_chunk") == F.col("_c")), "left").select(
-                *keys, "_chunk", "_items", F.col("_exit").alias("_entry"),
-                (~F.col("_exit").eqNullSafe(F.col("_entry"))).alias("_changed")))
-            state = moved.drop("_changed")
-            if moved.where("_changed").isEmpty():
-                break
-        folded = state.select(*keys, fold(F.col("_entry")).alias("_f"))
-    kept = folded.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.explode("_f.kept").alias("_q"))
-    return ranked.join(kept, same_keys(keys, "_k_") & (F.col("_pos") == F.col("_q"))).select(*df.columns)
+    if whole:
+        return kept_rows(chunks.select(*keys, fold(nothing).alias("_f")))
+    state = cut_lineage(chunks.withColumn("_entry", nothing))
+    while True:
+        done = state.select(*keys, "_chunk", "_items", "_entry", fold(F.col("_entry")).alias("_f"))
+        exits = done.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
+                            (F.col("_chunk") + 1).alias("_c"), F.col("_f.last").alias("_exit"))
+        moved = cut_lineage(done.join(
+            exits, same_keys(keys, "_k_") & (F.col("_chunk") == F.col("_c")), "left").select(
+            *keys, "_chunk", "_items", F.col("_exit").alias("_entry"),
+            (~F.col("_exit").eqNullSafe(F.col("_entry"))).alias("_changed")))
+        state = moved.drop("_changed")
+        if moved.where("_changed").isEmpty():
+            return kept_rows(state.select(*keys, fold(F.col("_entry")).alias("_f")))

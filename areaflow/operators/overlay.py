@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions.geometry import closed_next, signed_area
 from areaflow.functions.numbers import exact_area
+from areaflow.session import cut_lineage
 
 TILE = 16.0
 SNAP = 9
@@ -96,26 +97,28 @@ def crossings(edges: DataFrame, keys: list[str]) -> DataFrame:
         return (y1 + (x - x1) * m) - (v1 + (x - u1) * n)
 
     x = left + (right - left) * gap(left) / (gap(left) - gap(right))
-    return on.where(overlap & (gap(left) * gap(right) < 0)).select(
-        *keys, "tile", F.round(x, SNAP).alias("x")).distinct()
+    return on.where(overlap & (gap(left) * gap(right) < 0)).select(*keys, "tile", F.round(x, SNAP).alias("x"))
 
 
 def strips(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """Consecutive breakpoints (a, b) per tile: edge ends and crossings."""
+    """Consecutive breakpoints (a, b) per tile: edge ends and, when an edge slopes, crossings."""
     ks = [*keys, "tile"]
-    ends = edges.select(*ks, F.explode(F.array("xl", "xr")).alias("x"))
-    points = ends.unionByName(crossings(edges, keys)).distinct()
+    points = edges.select(*ks, F.explode(F.array("xl", "xr")).alias("x"))
+    if not edges.where("yl <> yr").isEmpty():
+        points = points.unionByName(crossings(edges, keys))
     following = F.lead("x").over(Window.partitionBy(*ks).orderBy("x"))
-    return points.select(*ks, F.col("x").alias("a"), following.alias("b")).where("b is not null")
+    return points.select(*ks, F.col("x").alias("a"), following.alias("b")).where("a < b")
 
 
 def sweep(edges: DataFrame, keys: list[str], tile: float | None = TILE) -> DataFrame:
     """Gaps of every strip with the depth of layer a and b above each edge.
 
     Columns: keys, tile, a, b (strip), ya, yb (lower side), ta, tb (upper side),
-    da, db (depths).  The gap above the last edge is not listed.
+    da, db (depths).  The gap above the last edge is not listed.  The merged edges
+    are written once; strips and pieces both read them.  Joins, sums and windows
+    all cluster on (keys, tile), so one shuffle serves them.
     """
-    placed = to_tiles(signed_edges(edges, keys), tile)
+    placed = cut_lineage(to_tiles(signed_edges(edges, keys), tile))
     cuts = strips(placed, keys)
     ks = [*keys, "tile"]
     pieces = placed.join(cuts, ks).where((F.col("xl") <= F.col("a")) & (F.col("b") <= F.col("xr")))

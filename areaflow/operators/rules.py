@@ -178,12 +178,12 @@ def height_coefficients(storeys: DataFrame, rules: DataFrame) -> DataFrame:
         "height_coef", F.coalesce("c", F.lit(1.0))).drop("c", "c_region", "c_height")
 
 
-def balcony_coefficients(regions: DataFrame, rules: DataFrame) -> DataFrame:
-    """First enclosure rule that mentions a balcony, else 0.5, per region."""
+def balcony_coefficients(storeys: DataFrame, rules: DataFrame) -> DataFrame:
+    """First enclosure rule of the region that mentions a balcony, else 0.5."""
     hit = rules.where((F.col("category") == "enclosure") & F.upper("description").contains("BALCONY")).groupBy(
         "region").agg(F.min_by(F.coalesce("coefficient", F.lit(DEFAULT_BALCONY)), "rule_ord").alias("c"))
-    return regions.select("region").distinct().join(hit, "region", "left").select(
-        "region", F.coalesce("c", F.lit(DEFAULT_BALCONY)).alias("balcony_coef"))
+    return storeys.join(hit, "region", "left").withColumn(
+        "balcony_coef", F.coalesce("c", F.lit(DEFAULT_BALCONY))).drop("c")
 
 
 def special_matches(pairs: DataFrame, rules: DataFrame) -> DataFrame:

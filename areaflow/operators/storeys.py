@@ -22,7 +22,7 @@ def to_metres(storeys_raw: DataFrame, models: DataFrame) -> DataFrame:
 
 def greedy_gap(storeys: DataFrame, gap: float = MIN_STOREY_GAP, peak: int | None = None) -> DataFrame:
     """Walking upwards, keep a storey only when it is more than `gap` above the last kept one."""
-    return greedy_keep(storeys, ["model_id"], ["elevation", "storey_id"], ["elevation"],
+    return greedy_keep(storeys, ["model_id"], ["elevation", "storey_id"],
                        lambda row, last: row["elevation"] - last["elevation"] > gap, peak=peak)
 
 

@@ -2,7 +2,7 @@
 
 import importlib
 
-CATALOGS = ["storeys", "features"]
+CATALOGS = ["storeys", "features", "area", "geometry"]
 
 
 def all_queries() -> dict:
