@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 RING = "array<struct<x:double,y:double>>"
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and use it several times in `body`."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def closed_next(ring: Column) -> Column:
     """The ring shifted by one, so zipping both gives the edges."""
     return F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
@@ -17,20 +22,36 @@ def closed_next(ring: Column) -> Column:
 
 def signed_area(ring: Column) -> Column:
     """Shoelace sum; positive for counter-clockwise rings. Null ring gives 0."""
-    terms = F.zip_with(ring, closed_next(ring), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
-    return F.when(ring.isNull() | (F.size(ring) < 3), 0.0).otherwise(total / 2.0)
+    def measure(r: Column) -> Column:
+        terms = F.zip_with(r, closed_next(r), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+        total = F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)
+        return F.when(r.isNull() | (F.size(r) < 3), 0.0).otherwise(total / 2.0)
+
+    return let(ring, measure)
 
 
 def area(ring: Column) -> Column:
     return F.abs(signed_area(ring))
 
 
+def is_proper(ring: Column) -> Column:
+    """At least three points and some area; the ring is evaluated once."""
+    return F.coalesce(let(ring, lambda r: (F.size(r) >= 3) & (area(r) > 0)), F.lit(False))
+
+
 def perimeter(ring: Column) -> Column:
-    terms = F.zip_with(ring, closed_next(ring), lambda a, b: F.sqrt(
-        (b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
-    return F.when(ring.isNull() | (F.size(ring) < 2), 0.0).otherwise(
-        F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
+    def measure(r: Column) -> Column:
+        terms = F.zip_with(r, closed_next(r), lambda a, b: F.sqrt(
+            (b["x"] - a["x"]) * (b["x"] - a["x"]) + (b["y"] - a["y"]) * (b["y"] - a["y"])))
+        return F.when(r.isNull() | (F.size(r) < 2), 0.0).otherwise(
+            F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t))
+
+    return let(ring, measure)
+
+
+def ring_pairs(ring: Column) -> Column:
+    """Edges of a ring as array<struct<a, b>>."""
+    return let(ring, lambda r: F.zip_with(r, closed_next(r), lambda a, b: F.struct(a.alias("a"), b.alias("b"))))
 
 
 def wkt(ring: Column) -> Column:
@@ -60,11 +81,6 @@ def _chain(points: Column) -> Column:
     return F.aggregate(points, F.array().cast(RING), step)
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and use it several times in `body`."""
-    return F.get(F.transform(F.array(value), body), 0)
-
-
 def convex_hull(points: Column) -> Column:
     """G1: counter-clockwise hull of an array of points; fewer than 3 hull points mean no area."""
     def open_end(chain: Column) -> Column:
@@ -91,6 +107,10 @@ def _turn(dx: float, dy: float) -> float:
 
 
 def dilate(ring: Column, distance: float, k: int = 64) -> Column:
+    return let(ring, lambda r: _dilate(r, distance, k))
+
+
+def _dilate(ring: Column, distance: float, k: int) -> Column:
     """Buffer of a convex counter-clockwise ring (or of a segment given as two points).
 
     The border of a sum of convex shapes runs through the edges of both in the

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaflow.functions.geometry import area, dilate, perimeter
+from areaflow.functions.geometry import area, dilate, is_proper, perimeter
 from areaflow.functions.numbers import exact_area
 from areaflow.operators import overlay
 from areaflow.operators.components import components
@@ -30,7 +30,7 @@ SIDES = ["a", "b", "ya", "yb", "ta", "tb"]
 
 def drop_degenerate(polys: DataFrame) -> DataFrame:
     """no ring, fewer than 3 points or no area."""
-    return polys.where((F.size("ring") >= 3) & (area(F.col("ring")) > 0))
+    return polys.where(is_proper(F.col("ring")))
 
 
 def valid_outline(ring_area: Column, ring_length: Column) -> Column:

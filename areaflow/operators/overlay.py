@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from areaflow.functions.geometry import closed_next, signed_area
+from areaflow.functions.geometry import let, ring_pairs, signed_area
 from areaflow.functions.numbers import exact_area
 from areaflow.session import cut_lineage
 
@@ -27,10 +27,12 @@ SNAP = 9
 
 def ring_edges(polys: DataFrame, keys: list[str]) -> DataFrame:
     """Directed edges of counter-clockwise rings: keys, layer, poly_id, x1, y1, x2, y2."""
-    oriented = F.when(signed_area(F.col("ring")) < 0, F.reverse("ring")).otherwise(F.col("ring"))
-    rings = polys.where(F.size("ring") >= 3).select(*keys, "layer", "poly_id", oriented.alias("_r"))
-    pairs = F.explode(F.arrays_zip(F.col("_r").alias("a"), closed_next(F.col("_r")).alias("b")))
-    e = rings.select(*keys, "layer", "poly_id", pairs.alias("e"))
+    def edges(r: Column) -> Column:
+        oriented = let(F.when(signed_area(r) < 0, F.reverse(r)).otherwise(r), ring_pairs)
+        return F.when(F.size(r) >= 3, oriented)
+
+    # One expression from ring to edges, so a computed ring is computed once.
+    e = polys.select(*keys, "layer", "poly_id", F.explode_outer(let(F.col("ring"), edges)).alias("e")).where("e is not null")
     return e.select(*keys, "layer", "poly_id", *[
         F.round(F.col(c), SNAP).alias(n) for c, n in
         (("e.a.x", "x1"), ("e.a.y", "y1"), ("e.b.x", "x2"), ("e.b.y", "y2"))])
@@ -141,11 +143,15 @@ def gap_area() -> Column:
     return (F.col("b") - F.col("a")) * ((F.col("ta") - F.col("ya")) + (F.col("tb") - F.col("yb"))) / 2.0
 
 
-def overlay_areas(polys: DataFrame, keys: list[str], tile: float | None = TILE) -> DataFrame:
-    """A1, A3: areas of a, b, a or b, a and b, a without b, per key; layer is 'a' or 'b'."""
-    gaps = sweep(ring_edges(polys, keys), keys, tile)
+def gap_sums(gaps: DataFrame, keys: list[str]) -> DataFrame:
+    """Areas of a, b, a or b, a and b, a without b, per key."""
     in_a, in_b, area = F.col("da") > 0, F.col("db") > 0, gap_area()
     sums = {"area_a": in_a, "area_b": in_b, "area_union": in_a | in_b, "area_both": in_a & in_b,
             "area_a_only": in_a & ~in_b}
     return gaps.groupBy(*keys).agg(*[
         F.coalesce(exact_area(F.when(cond, area)), F.lit(0.0)).alias(name) for name, cond in sums.items()])
+
+
+def overlay_areas(polys: DataFrame, keys: list[str], tile: float | None = TILE) -> DataFrame:
+    """A1, A3: overlay areas of polygon layers 'a' and 'b'."""
+    return gap_sums(sweep(ring_edges(polys, keys), keys, tile), keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaflow.functions.geometry import closed_next, convex_hull, cross
+from areaflow.functions.geometry import convex_hull, cross, let, ring_pairs
 from areaflow.operators.ordered import largest_key
 
 CELL = 8.0
@@ -14,6 +14,7 @@ HULL_CHUNK = 4096
 
 
 def with_bbox(df: DataFrame, ring: str = "ring") -> DataFrame:
+    """Add minx, maxx, miny, maxy of a ring column."""
     xs, ys = F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
     return df.withColumns({"minx": F.array_min(xs), "maxx": F.array_max(xs),
                            "miny": F.array_min(ys), "maxy": F.array_max(ys)})
@@ -24,7 +25,10 @@ def cells(df: DataFrame, cell: float) -> DataFrame:
     def span(lo: str, hi: str) -> Column:
         return F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
 
-    return df.withColumn("cx", F.explode(span("minx", "maxx"))).withColumn("cy", F.explode(span("miny", "maxy")))
+    # explode_outer: the spans are never empty, and a plain explode would make Spark
+    # add a not-empty filter that evaluates them twice.
+    return df.withColumn("cx", F.explode_outer(span("minx", "maxx"))).withColumn(
+        "cy", F.explode_outer(span("miny", "maxy")))
 
 
 def box_join(left: DataFrame, right: DataFrame, keys: list[str], cond: Column | None = None,
@@ -51,11 +55,6 @@ def box_join(left: DataFrame, right: DataFrame, keys: list[str], cond: Column |
     return l.join(r, on).drop("cx", "cy", "r_cx", "r_cy", *[f"r_{k}" for k in keys])
 
 
-def ring_pairs(ring: Column) -> Column:
-    """Edges of a ring as array<struct<a, b>>."""
-    return F.zip_with(ring, closed_next(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-
-
 def inside(px: Column, py: Column, ring: Column) -> Column:
     """Crossing parity; points on the border may fall either way."""
     def hits(e):
@@ -88,8 +87,12 @@ def rings_touch(r1: Column, r2: Column) -> Column:
             F.least(f["a"]["y"], f["b"]["y"]) <= F.greatest(e["a"]["y"], e["b"]["y"]))
         return boxes & (d1 * d2 <= EPS) & (d3 * d4 <= EPS)
 
-    edges = F.exists(ring_pairs(r1), lambda e: F.exists(ring_pairs(r2), lambda f: meets(e, f)))
-    return edges | inside(r1[0]["x"], r1[0]["y"], r2) | inside(r2[0]["x"], r2[0]["y"], r1)
+    def any_meet(e1: Column, e2: Column) -> Column:
+        return F.exists(e1, lambda e: F.exists(e2, lambda f: meets(e, f)))
+
+    edges = let(ring_pairs(r2), lambda e2: any_meet(ring_pairs(r1), e2))
+    first, second = F.get(r1, 0), F.get(r2, 0)
+    return inside(first["x"], first["y"], r2) | inside(second["x"], second["y"], r1) | edges
 
 
 def grid_points(df: DataFrame, step: float) -> DataFrame:

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaflow.functions.geometry import cross, perimeter
+from areaflow.functions.geometry import cross, perimeter, ring_pairs
 from areaflow.operators.ordered import greedy_keep, largest_key, with_neighbours, with_position
-from areaflow.operators.spatial import box_join, ring_pairs, with_bbox
+from areaflow.operators.spatial import box_join, with_bbox
 
 # Fixed values.
 DEFAULT_THICKNESS = 0.2

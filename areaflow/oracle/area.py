@@ -1,6 +1,7 @@
 """Independent SQL for rules, area arms and report tables."""
 
 from areaflow.oracle import storeys as _storeys  # noqa: F401  (adds the storey tables)
+from areaflow.oracle.geometry import outline_ctes
 from areaflow.oracle.base import CTES, esum, rnd, with_ctes
 
 _ROOF = "(name IS NULL OR NOT regexp_matches(upper(name), '屋顶|屋面|ROOF|RF|RL'))"
@@ -56,6 +57,16 @@ def area_ctes(prefix: str, inputs: str, deps: list[str]) -> dict[str, tuple[list
 CTES.update(area_ctes("p_", """SELECT s.*, m.region, i.base_area, i.outside_area FROM storeys s JOIN area_inputs i USING (model_id, storey_id) JOIN models m ON m.model_id = s.model_id""",
                       ["storeys", "area_inputs", "models"]))
 
+CTES.update({"qw": (["near", "tol", "base"], """SELECT n.model_id, n.storey_id, n.express_id AS poly_id, gx, gy, gw, gd FROM near n JOIN tol USING (model_id)
+        JOIN base b ON b.express_id = n.express_id WHERE dist < tolerance"""),
+    "qslab": (["slab_st", "base"], """SELECT DISTINCT s.model_id, s.storey_id, cx, cy FROM slab_st s JOIN base b USING (express_id), unnest(generate_series(gx, gx+gw-1)) t(cx), unnest(generate_series(gy, gy+gd-1)) u(cy)""")})
+CTES.update(outline_ctes("q_", "qw"))
+CTES.update(area_ctes("f_", """SELECT s.*, m.region, coalesce(o.a, 0) AS base_area, CASE WHEN o.a IS NULL THEN 0 ELSE coalesce(d.a, 0) END AS outside_area
+    FROM storeys s JOIN models m USING (model_id)
+    LEFT JOIN (SELECT storey_id, count(*)/4.0::DOUBLE AS a FROM q_fill GROUP BY 1) o ON o.storey_id = s.storey_id
+    LEFT JOIN (SELECT storey_id, count(*)/4.0::DOUBLE AS a FROM qslab q WHERE NOT EXISTS (SELECT 1 FROM q_fill f WHERE f.storey_id = q.storey_id AND f.cx = q.cx AND f.cy = q.cy) GROUP BY 1) d ON d.storey_id = s.storey_id""",
+    ["storeys", "models", "q_fill", "qslab"]))
+
 _D = "(doc_id % 5)"
 CTES.update({
     "cl": ([], f"""SELECT doc_id, '3.0.' || (doc_id % 30) AS citation, 1 AS c, 'Storey height below 2.' || {_D} || ' m counts 1/2 area; height of 2.' || {_D} || ' m and above counts full area.' AS body FROM documents
@@ -66,6 +77,7 @@ CTES.update({
 })
 
 ORACLES = {
+    "floor_area": with_ctes("SELECT * EXCLUDE (exact_area) FROM f_rep", "f_rep"),
     "height_coef": with_ctes(f"SELECT model_id, storey_id, {rnd('height', 4)} AS height, k AS height_coef FROM allk", "allk", extra={
         "allk": (["storeys", "models", "rules"], """SELECT s.model_id, storey_id, height, CASE WHEN height >= 2.2::DOUBLE THEN 1.0 WHEN height < 1.2::DOUBLE THEN 0.0 ELSE 0.5 END AS k FROM storeys s""")}),
     "balcony_coef": with_ctes("""SELECT model_id, region, CASE WHEN r_regionkey % 2 = 0 THEN 1.0 ELSE 0.5 END AS balcony_coef FROM models JOIN region ON r_name = region""", "models"),

@@ -2,7 +2,7 @@
 
 import importlib
 
-CATALOGS = ["storeys", "features", "area", "geometry"]
+CATALOGS = ["storeys", "features", "area", "geometry", "review"]
 
 
 def all_queries() -> dict:
