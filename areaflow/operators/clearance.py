@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions.geometry import convex_hull
 from areaflow.operators.spatial import CELL, box_join, even_points, grid_points, rings_touch, with_bbox
+from areaflow.session import cut_lineage
 from areaflow.sources.meshes import axis, triangles
 
 # Fixed values.
@@ -79,10 +80,11 @@ def nearest_above(slabs: DataFrame, others: DataFrame | None = None, reaches: li
     the slabs still without one, at last without a band.  A slab in a tall stack
     so meets its neighbours, not the whole stack.
     """
-    lower = slabs.select("model_id", "express_id", "ring", "minx", "maxx", "miny", "maxy", F.col("max_z").alias("top"))
+    slabs = cut_lineage(slabs.select("model_id", "express_id", "ring", "minx", "maxx", "miny", "maxy", "min_z", "max_z"))
+    lower = slabs.withColumn("top", F.col("max_z")).drop("min_z", "max_z")
     # Copies of the same plan at the same height count once.
-    upper = (slabs if others is None else others).groupBy("model_id", "min_z", "ring", "minx", "maxx", "miny", "maxy").agg(
-        F.min("express_id").alias("express_id"))
+    upper = cut_lineage((slabs if others is None else others).groupBy(
+        "model_id", "min_z", "ring", "minx", "maxx", "miny", "maxy").agg(F.min("express_id").alias("express_id")))
     nearest = F.min(F.struct("r_min_z", "r_express_id"))
     found: list[DataFrame] = []
     left = lower
@@ -96,8 +98,8 @@ def nearest_above(slabs: DataFrame, others: DataFrame | None = None, reaches: li
             pairs = box_join(left.withColumn("band", F.explode(F.array(band, band + 1))),
                              upper.withColumn("band", F.floor(F.col("min_z") / reach)),
                              ["model_id", "band"], higher & touch)
-        hit = pairs.groupBy("model_id", "express_id").agg(nearest.alias("n")).select(
-            "model_id", "express_id", F.col("n.r_express_id").alias("above_id"), F.col("n.r_min_z").alias("above_z"))
+        hit = cut_lineage(pairs.groupBy("model_id", "express_id").agg(nearest.alias("n")).select(
+            "model_id", "express_id", F.col("n.r_express_id").alias("above_id"), F.col("n.r_min_z").alias("above_z")))
         # Within the band searched the nearest is exact: every slab up to the top of the next band was seen.
         found.append(hit)
         left = left.join(hit.select("model_id", "express_id"), ["model_id", "express_id"], "left_anti")
