@@ -27,13 +27,18 @@ REACHES = [6.0, 48.0]
 
 
 def solids(meshes: DataFrame) -> DataFrame:
-    """Per element: hull of the plan points, its box, lowest and highest z. No shuffle."""
+    """Per element: hull of the plan points, its box, lowest and highest z.
+
+    Written once: the hull is the costly part, and filters on its box would
+    otherwise be pushed below it and compute it again.
+    """
     n = F.floor(F.size("verts") / 3).cast("int")
     points = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(
         F.get("verts", i * 3).alias("x"), F.get("verts", i * 3 + 1).alias("y")))
     zs = axis(F.col("verts"), 2)
-    return with_bbox(meshes.where(F.size("verts") >= 9).withColumn("ring", convex_hull(points)).withColumns(
-        {"min_z": F.array_min(zs), "max_z": F.array_max(zs)})).drop("faces")
+    hulls = cut_lineage(meshes.where(F.size("verts") >= 9).withColumn("ring", convex_hull(points)).withColumns(
+        {"min_z": F.array_min(zs), "max_z": F.array_max(zs)}).drop("verts", "faces"))
+    return with_bbox(hulls)
 
 
 def face_border(meshes: DataFrame, side: str) -> DataFrame:

@@ -65,12 +65,12 @@ class Headroom:
 
     def __init__(self, b: Buildings):
         meshes, covers = covers_of(b)
-        self.slabs = cut_lineage(slabs_of(b).drop("verts"))
+        self.slabs = slabs_of(b)
         self.above = cut_lineage(clearance.nearest_above(self.slabs))
         self.open = self.slabs.join(self.above.select(*SLAB), SLAB, "left_anti")
         self.candidates = cut_lineage(clearance.lowest_vertex_above(
             clearance.above_candidates(self.open, covers), meshes))
-        self.faces = clearance.mesh_faces(meshes)
+        self.faces = cut_lineage(clearance.mesh_faces(meshes))
         self.b = b
 
     def cleared(self) -> DataFrame:

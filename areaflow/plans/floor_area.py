@@ -76,7 +76,8 @@ def items_on_storeys(alignment: DataFrame, kept: DataFrame) -> DataFrame:
 
 def storey_areas(t: ModelTables, kept: DataFrame, buffer_sides: int, tile: float | None) -> DataFrame:
     """Base (enclosed) and outside (balcony) area per storey from the geometry."""
-    shapes = clearance.solids(t.meshes).select("model_id", "express_id", "ring")
+    shapes = clearance.solids(t.meshes.where(F.col("ifc_type").isin(assign.ENVELOPE_TYPES))).select(
+        "model_id", "express_id", "ring")
     walls = assign.nearest_storey(assign.envelope(t.elements), kept).join(shapes, ["model_id", "express_id"]).select(
         *STOREY, F.col("express_id").alias("poly_id"), "ring")
     outlines = outline.enclosed_outline(walls, STOREY, k=buffer_sides, tile=tile)
