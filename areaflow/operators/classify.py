@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaflow.functions.numbers import rounded
@@ -33,9 +33,12 @@ def any_word(text: Column, words: list[str]) -> Column:
     return hit
 
 
-def base_categories(spark: SparkSession) -> DataFrame:
-    rows = [(i, name, types) for i, (name, types) in enumerate(TAXONOMY, 1)]
-    return spark.createDataFrame(rows, "cat_ord int, name string, valid_types array<string>")
+def base_categories(regions: DataFrame) -> DataFrame:
+    """The fixed taxonomy for every region."""
+    rows = F.array(*[F.struct(F.lit(i).alias("cat_ord"), F.lit(name).alias("name"),
+                              F.array(*[F.lit(t) for t in types]).alias("valid_types"))
+                     for i, (name, types) in enumerate(TAXONOMY, 1)])
+    return regions.select("region").distinct().select("region", F.explode(rows).alias("c")).select("region", "c.*")
 
 
 def dynamic_name(description: Column, logic: Column) -> Column:
@@ -49,8 +52,6 @@ def dynamic_name(description: Column, logic: Column) -> Column:
 
 def active_categories(regions: DataFrame, rules: DataFrame) -> DataFrame:
     """Base taxonomy of every region plus the names its special-use rules bring in, first wins."""
-    base = base_categories(rules.sparkSession)
-    fixed = regions.select("region").distinct().crossJoin(base)  # nine rows per region
     found = rules.where("category = 'special_use'").select(
         "region", "rule_ord", dynamic_name(F.col("description"), F.col("condition_logic")).alias("name"))
     # At most one row per region and listed name is left before the numbering.
@@ -60,7 +61,7 @@ def active_categories(regions: DataFrame, rules: DataFrame) -> DataFrame:
     placed = new.groupBy("region").agg(names.alias("names")).select("region", F.posexplode("names").alias("i", "n"))
     added = placed.select("region", (F.col("i") + 1 + len(TAXONOMY)).alias("cat_ord"), F.col("n.name").alias("name"),
                           F.array(*[F.lit(t) for t in DYNAMIC_TYPES]).alias("valid_types"))
-    return fixed.unionByName(added)
+    return base_categories(regions).unionByName(added)
 
 
 def class_mode(ifc_type: Column, span: Column, name: Column) -> Column:
@@ -226,9 +227,8 @@ def confidence_hist(alignment: DataFrame) -> DataFrame:
     """Counts and percent above 80 %, 50-80 % and below 50 %."""
     bucket = F.when(F.col("confidence") > 0.8, "high").when(F.col("confidence") >= 0.5, "medium").otherwise("low")
     counts = alignment.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    total = alignment.agg(F.count(F.lit(1)).alias("total"))
-    return counts.crossJoin(total).select(  # three rows with one row
-        "bucket", "n", rounded(F.col("n") * 100.0 / F.col("total"), 1).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy())  # over the three bucket rows
+    return counts.select("bucket", "n", rounded(F.col("n") * 100.0 / total, 1).alias("percent"))
 
 
 def element_factor(category: Column, manual: Column) -> Column:

@@ -85,11 +85,13 @@ def nearest_above(slabs: DataFrame, others: DataFrame | None = None, reaches: li
     the slabs still without one, at last without a band.  A slab in a tall stack
     so meets its neighbours, not the whole stack.
     """
-    slabs = cut_lineage(slabs.select("model_id", "express_id", "ring", "minx", "maxx", "miny", "maxy", "min_z", "max_z"))
-    lower = slabs.withColumn("top", F.col("max_z")).drop("min_z", "max_z")
-    # Copies of the same plan at the same height count once.
-    upper = cut_lineage((slabs if others is None else others).groupBy(
-        "model_id", "min_z", "ring", "minx", "maxx", "miny", "maxy").agg(F.min("express_id").alias("express_id")))
+    plan = ["ring", "minx", "maxx", "miny", "maxy"]
+    slabs = cut_lineage(slabs.select("model_id", "express_id", *plan, "min_z", "max_z"))
+    # Copies of the same plan at the same height count once, below and above.
+    lower = cut_lineage(slabs.groupBy("model_id", F.col("max_z").alias("top"), *plan).agg(
+        F.min("express_id").alias("express_id")))
+    upper = cut_lineage((slabs if others is None else others).groupBy("model_id", "min_z", *plan).agg(
+        F.min("express_id").alias("express_id")))
     nearest = F.min(F.struct("r_min_z", "r_express_id"))
     found: list[DataFrame] = []
     left = lower
@@ -108,7 +110,10 @@ def nearest_above(slabs: DataFrame, others: DataFrame | None = None, reaches: li
         # Within the band searched the nearest is exact: every slab up to the top of the next band was seen.
         found.append(hit)
         left = left.join(hit.select("model_id", "express_id"), ["model_id", "express_id"], "left_anti")
-    return reduce(DataFrame.unionByName, found)
+    first = lower.select("model_id", "top", "ring", "express_id").join(
+        reduce(DataFrame.unionByName, found), ["model_id", "express_id"]).drop("express_id")
+    every = slabs.select("model_id", "express_id", F.col("max_z").alias("top"), "ring")
+    return every.join(first, ["model_id", "top", "ring"]).select("model_id", "express_id", "above_id", "above_z")
 
 
 def above_candidates(open_slabs: DataFrame, others: DataFrame) -> DataFrame:

@@ -116,9 +116,9 @@ ORACLES = {
           WHEN mep THEN 'MEP_SHAFT' WHEN material = 'RAILING' THEN 'ATRIUM' WHEN material = 'WALL' THEN 'FUNCTIONAL_SHAFT' END
         ELSE (list_filter(string_split(candidates, ','), lambda c: contains(replace(replace(upper(f.name), ' ', ''), '-', ''), replace(c, '_', ''))))[1] END AS guess
         FROM ft f JOIN cand USING (model_id, guid)))""", "ft", "cand"),
-    "align": with_ctes("""SELECT model_id, guid, name, ifc_type, category AS semantic_category, confidence, CASE WHEN confidence >= 0.65 THEN 'AUTO_MAPPED' ELSE 'NEEDS_REVIEW' END AS status, reasoning FROM (
+    "align": with_ctes("""SELECT x.model_id, x.guid, name, x.ifc_type, category AS semantic_category, confidence, CASE WHEN confidence >= 0.65 THEN 'AUTO_MAPPED' ELSE 'NEEDS_REVIEW' END AS status, reasoning, gw*gd/4.0::DOUBLE AS area FROM (
         SELECT model_id, guid, name, ifc_type, category, confidence, reasoning FROM gen UNION ALL SELECT model_id, guid, name, ifc_type, category, confidence, reasoning FROM ver
-        UNION ALL SELECT model_id, guid, name, ifc_type, category, 0.0, reasoning FROM ft WHERE failed)""", "gen", "ver", "ft"),
+        UNION ALL SELECT model_id, guid, name, ifc_type, category, 0.0, reasoning FROM ft WHERE failed) x JOIN base b ON b.model_id = x.model_id AND b.guid = x.guid""", "gen", "ver", "ft", "base"),
     "latest_alignment": with_ctes("""SELECT model_id, guid, CASE WHEN express_id % 9 = 0 THEN 'CORRIDOR' ELSE semantic_category END AS semantic_category,
         CASE WHEN express_id % 9 = 0 THEN confidence/2 ELSE confidence END AS confidence, CASE WHEN express_id % 9 = 0 THEN 2 ELSE 1 END AS ord FROM alignment""", "alignment"),
     "alignment_meta": with_ctes(f"""SELECT model_id, count(*) AS total, count(*) FILTER (status = 'NEEDS_REVIEW' AND express_id % 43 <> 0) AS needs_review,

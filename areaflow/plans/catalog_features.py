@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions import geometry
 from areaflow.functions.numbers import rounded
-from areaflow.operators import classify, features, rules
+from areaflow.operators import classify, clearance, features, rules
 from areaflow.sources import meshes, model_files
 from areaflow.sources.derived import Buildings
 
@@ -120,12 +120,20 @@ def dynamic_categories(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def element_features(b: Buildings) -> DataFrame:
-    """All features of spaces and slabs; `area` of a slab is its plan area (volume tables carry it)."""
+    """All features of spaces and slabs.
+
+    `area` is the measure calibration reads (spaces only); `plan_area` is the area
+    the later stages read: the same for spaces, the footprint of the top faces for slabs.
+    """
     e = b.elements().where(F.col("ifc_type").isin(SCANNED))
     f = features.with_dimensions(e, dims(b).where(F.col("ifc_type").isin(SCANNED)))
     f = features.external_flag(f, b.psets())
     f = features.with_space_context(f, features.space_flags(b.space_contents()),
                                     features.boundary_material(b.bounded_by()))
+    slab_faces = clearance.face_border(b.meshes().where("ifc_type = 'IfcSlab'"), "top")
+    plans = clearance.footprint_area(slab_faces).select("model_id", "express_id", F.col("area").alias("slab_area"))
+    f = f.join(plans, ["model_id", "express_id"], "left").withColumn(
+        "plan_area", rounded(F.coalesce("slab_area", "area"), 4)).drop("slab_area")
     f = f.join(b.models().select("model_id", "region"), "model_id")
     return f.withColumn("mode", classify.class_mode(F.col("ifc_type"), F.col("floor_span"), F.col("name")))
 
@@ -192,7 +200,8 @@ def baseline_classify(spark: SparkSession, folder: str) -> DataFrame:
 def align(spark: SparkSession, folder: str) -> DataFrame:
     b = Buildings(spark, folder)
     return classify.align(element_features(b), classify.parse_replies(b.replies())).select(
-        "model_id", "guid", "name", "ifc_type", "semantic_category", "confidence", "status", "reasoning")
+        "model_id", "guid", "name", "ifc_type", "semantic_category", "confidence", "status", "reasoning",
+        F.col("plan_area").alias("area"))
 
 
 def latest_alignment(spark: SparkSession, folder: str) -> DataFrame:

@@ -166,7 +166,8 @@ def align_stream(spark: SparkSession, folder: str) -> DataFrame:
                                      lambda batch: answers, f"{place}/out", f"{place}/state")
     query.awaitTermination()
     return spark.read.parquet(f"{place}/out").select(
-        "model_id", "guid", "name", "ifc_type", "semantic_category", "confidence", "status", "reasoning")
+        "model_id", "guid", "name", "ifc_type", "semantic_category", "confidence", "status", "reasoning",
+        F.col("plan_area").alias("area"))
 
 
 BASE_ID = 10 ** 15
