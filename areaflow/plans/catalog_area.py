@@ -81,22 +81,22 @@ def area_rollup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def report_summary(spark: SparkSession, folder: str) -> DataFrame:
-    run = plain_run(Buildings(spark, folder))
+    run = plain_run(Buildings(spark, folder)).saved()
     return sheets.summary(run.report, run.totals)
 
 
 def report_stories(spark: SparkSession, folder: str) -> DataFrame:
-    run = plain_run(Buildings(spark, folder))
+    run = plain_run(Buildings(spark, folder)).saved()
     return sheets.stories(run.report, run.parts)
 
 
 def report_components(spark: SparkSession, folder: str) -> DataFrame:
-    run = plain_run(Buildings(spark, folder))
+    run = plain_run(Buildings(spark, folder)).saved()
     return sheets.component_sheet(run.report, run.components)
 
 
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
-    run = plain_run(Buildings(spark, folder))
+    run = plain_run(Buildings(spark, folder)).saved()
     return sheets.json_documents(run.report, run.components, run.totals)
 
 

@@ -43,6 +43,11 @@ class AreaRun:
     sums: DataFrame
     report: DataFrame
 
+    def saved(self) -> AreaRun:
+        """The same run with parts and sums written once, for callers that read several of its tables."""
+        parts, sums = cut_lineage(self.parts), cut_lineage(self.sums)
+        return AreaRun(self.facts, parts, sums, area.storey_report(sums))
+
     @property
     def components(self) -> DataFrame:
         return area.components(self.sums, self.parts)

@@ -158,7 +158,7 @@ class Buildings:
             "model_id", F.col("home_storey").alias("parent_id"), F.col("express_id").alias("child_id"))
 
     def rel_contained(self) -> DataFrame:
-        """Relation rows with an array of children, one per (storey, ten-thousand block of ids)."""
+        """Relation rows with an array of children: one or two per row."""
         e = F.col("express_id")
         return self.element_base().where("is_contained").select(
             "model_id", F.col("home_storey").alias("parent_id"),
