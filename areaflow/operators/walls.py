@@ -67,10 +67,14 @@ def clipped_length(ring: Column, x1: Column, y1: Column, x2: Column, y2: Column)
 
     def cut(acc: Column, e: Column) -> Column:
         size = F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2))
-        c0, c1 = cross(e["a"], e["b"], p) + TOUCH * size, cross(e["a"], e["b"], q) + TOUCH * size
+        c0, c1 = cross(e["a"], e["b"], p), cross(e["a"], e["b"], q)
+        # A segment along this side stays whole when it is on the line up to noise; one that
+        # crosses the side is cut exactly, so the tolerance never lengthens it.
+        along = F.abs(c0 - c1) <= TOUCH * size
+        outside = F.when(along, F.least(c0, c1) < -TOUCH * size).otherwise((c0 < 0) & (c1 < 0))
         t = c0 / (c0 - c1)
-        lo = F.when((c0 < 0) & (c1 < 0), 2.0).when((c0 < 0) & (c1 >= 0), F.greatest(acc["lo"], t)).otherwise(acc["lo"])
-        hi = F.when((c0 >= 0) & (c1 < 0), F.least(acc["hi"], t)).otherwise(acc["hi"])
+        lo = F.when(outside, 2.0).when(~along & (c0 < 0), F.greatest(acc["lo"], t)).otherwise(acc["lo"])
+        hi = F.when(~along & (c0 >= 0) & (c1 < 0), F.least(acc["hi"], t)).otherwise(acc["hi"])
         return F.struct(lo.alias("lo"), hi.alias("hi"))
 
     span = F.aggregate(ring_pairs(ring), F.struct(F.lit(0.0).alias("lo"), F.lit(1.0).alias("hi")), cut)
@@ -110,7 +114,7 @@ def external_walls(walls: DataFrame, outline_edges: DataFrame, keys: list[str],
     length = measure(F.col("ring"), F.col("r_x1"), F.col("r_y1"), F.col("r_x2"), F.col("r_y2"))
     sums = pairs.groupBy(*keys, "poly_id").agg(F.sum(length.cast("decimal(28,10)")).cast("double").alias("on_outline"))
     out = walls.join(sums, [*keys, "poly_id"], "left").withColumn(
-        "ratio", F.coalesce("on_outline", F.lit(0.0)) / perimeter(F.col("ring")))
+        "ratio", F.round(F.coalesce("on_outline", F.lit(0.0)) / perimeter(F.col("ring")), 9))
     return out.withColumn("is_external", F.col("ratio") > threshold).drop("on_outline")
 
 
