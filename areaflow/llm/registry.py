@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import mixing, sharding
+from areaflow.llm import mixing, quality_rules, sharding
 
 QUERIES = {
     "op5_mixing": mixing.op5_mixing,
     "op6_sharding": sharding.op6_sharding,
+    "op10_quality_rules": quality_rules.op10_quality_rules,
 }
 ORACLES: dict[str, str] = {}
