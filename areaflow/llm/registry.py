@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import exact_dedup, mixing, quality_rules, sharding
+from areaflow.llm import exact_dedup, mixing, quality_rules, sharding, token_tree
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+    "op3_byte_bpe": token_tree.op3_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_sharding": sharding.op6_sharding,
     "op10_quality_rules": quality_rules.op10_quality_rules,
