@@ -1,0 +1,39 @@
+"""Connected components of links between 64-bit ids, by alternating star contractions."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from areaflow.session import cut_lineage
+
+
+def smallest_reachable(links: DataFrame) -> DataFrame:
+    """id, label: the smallest id connected with each id of the links (u, v).
+
+    Each round points every larger neighbour of a node at the smallest id around the
+    node, then does the same with its smaller neighbours, until all links are stars.
+    Rounds grow with the logarithm of the longest path.  Minima are aggregated before
+    the shuffle and neighbours are never gathered in a row, so the centre of a large
+    star is no single task's burden.
+    """
+    edges = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
+        "u <> v").distinct())
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("n")).agg(F.least("n", F.min("v")).alias("m"))
+        # Large star: neighbours above n go to m; what is below goes on to the small star.
+        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        small = large.join(down, F.col("u") == F.col("n")).select(
+            F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")),
+                              F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(
+            F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
+        new = cut_lineage(small)
+        # Stars: no centre is a leaf of another, and every leaf has one centre.
+        leaves = new.groupBy(F.col("u").alias("leaf")).agg(F.count("*").alias("centres"))
+        open_ends = new.select(F.col("v").alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
+        if leaves.where("centres > 1").isEmpty() and open_ends.isEmpty():
+            return new.select(F.col("u").alias("id"), F.col("v").alias("label"))
+        edges = new
