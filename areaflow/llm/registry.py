@@ -1,12 +1,13 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import exact_dedup, mixing, quality_rules, sharding, simhash_links, token_tree
+from areaflow.llm import exact_dedup, mixing, quality_rules, sharding, simhash_links, token_files, token_tree
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": token_tree.op3_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_sharding": sharding.op6_sharding,
+    "op8_token_files": token_files.op8_token_files,
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
