@@ -1,8 +1,9 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import exact_dedup, mixing, quality_rules, sharding, simhash_links, token_files, token_tree
+from areaflow.llm import exact_dedup, mixing, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": token_tree.op3_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
