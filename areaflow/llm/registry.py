@@ -1,6 +1,6 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import exact_dedup, mixing, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
+from areaflow.llm import exact_dedup, html_wrappers, mixing, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_byte_bpe": token_tree.op3_byte_bpe,
     "op5_mixing": mixing.op5_mixing,
     "op6_sharding": sharding.op6_sharding,
+    "op7_html_extraction": html_wrappers.op7_html_extraction,
     "op8_token_files": token_files.op8_token_files,
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
