@@ -1,11 +1,12 @@
 """Registered queries of this subpackage and their checking SQL."""
 
-from areaflow.llm import exact_dedup, html_wrappers, mixing, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
+from areaflow.llm import exact_dedup, html_wrappers, mixing, quality_model, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
 
 QUERIES = {
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": token_tree.op3_byte_bpe,
+    "op4_quality_model": quality_model.op4_quality_model,
     "op5_mixing": mixing.op5_mixing,
     "op6_sharding": sharding.op6_sharding,
     "op7_html_extraction": html_wrappers.op7_html_extraction,
