@@ -7,6 +7,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -22,17 +23,19 @@ from areaflow.llm.common import ship_package, small_batches, table
 from areaflow.session import checkpoint_dir, cut_lineage
 
 END_ID = 2
-CACHED_PIECES = 400_000
+CACHED_PIECES = 300_000  # in each of two generations
 READ_BYTES = 8_000_000
 # Fixed values of the file format: added to a rotated checksum, and the size of frames and index entries.
 MASK_DELTA = 0xA282EAD8
 HEAD, FOOT = 12, 4  # bytes: length and its checksum; checksum of the data
 INDEX = np.dtype([("null_id", "u1"), ("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8")])
 
-# Blanks and what follows: a piece begins where white space comes after anything else, which no match
-# of the tokenizer's pattern spans, so pieces are encoded one by one and looked up when they come again.
-_W = "\t-\r \x85\xa0  -     　"
-PIECE = re.compile(f"[{_W}]*[^{_W}]+|[{_W}]+")
+# Pieces begin where no match of the tokenizer's pattern spans the cut, whatever stands further off: white space
+# after anything else, and full stops and commas after letters.  So each is encoded by itself and looked up when it
+# comes again.
+_W = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_L = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+PIECE = re.compile(f"[ \n]?[{_L}]+(?=[ .,])|[{_W}]*[^{_W}]+|[{_W}]+")
 
 
 def masked(data: bytes) -> int:
@@ -64,7 +67,7 @@ def store(location: str) -> tuple[fs.FileSystem, str]:
 
 
 class PieceEncoder:
-    """The tokenizers library over pieces of texts; ids of the last pieces seen are kept."""
+    """The tokenizers library over pieces of texts; ids of pieces met lately are kept."""
 
     def __init__(self, model: str, limit: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -72,23 +75,38 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_str(model)
         self.tokenizer.encode_special_tokens = True
-        self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.width = np.dtype(self.code)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.limit = limit
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text in this vocabulary's width."""
-        split = [PIECE.findall(t) for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        if len(self.known) + len(new) > self.limit:
-            self.known = {}
-            new = list({p for pieces in split for p in pieces})
+    def learn(self, pieces: list[str]) -> None:
+        """Encode the pieces that are not known; what was not met since the last change of generations is forgotten."""
+        new = []
+        for piece in {*pieces}:
+            old = self.older.get(piece)
+            if old is None:
+                new.append(piece)
+            else:
+                self.known[piece] = old
         for a in range(0, len(new), 20_000):
             part = new[a:a + 20_000]
             for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[piece] = np.asarray(got.ids, self.width).tobytes()
-        known = self.known
-        return [b"".join([known[p] for p in pieces]) for pieces in split]
+                self.known[piece] = array(self.code, got.ids).tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text in this vocabulary's width, least byte first."""
+        split = [PIECE.findall(t) for t in texts]
+        if len(self.known) > self.limit:
+            self.known, self.older = {}, self.known
+        found = [list(map(self.known.get, pieces)) for pieces in split]
+        lacking = [k for k, ids in enumerate(found) if None in ids]
+        if lacking:
+            self.learn([p for k in lacking for p, ids in zip(split[k], found[k]) if ids is None])
+            for k in lacking:
+                found[k] = list(map(self.known.get, split[k]))
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=2)
