@@ -39,6 +39,12 @@ def small_batches(spark: SparkSession, rows: int = 1000, size: str = "16m") -> N
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder that this job has written, in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the executors this package, once per session, so that Python tasks run from any folder."""
     sc = spark.sparkContext
@@ -50,6 +56,43 @@ def ship_package(spark: SparkSession) -> None:
     sc._areaflow_shipped = True
 
 
+def keep_copies(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of docs, each as often as `decisions` (doc_id, body, copies; one row a document) says.
+
+    Documents are found again by doc_id (nulls match) and text.  Rows that repeat both
+    are one document here, which stays as often as their copies add up to.  Other
+    columns pass through whatever their names.
+    """
+    per = cut_lineage(decisions.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body")).agg(
+        F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")))
+    rows = docs.select(F.struct("*").alias("doc"), body_key().alias("_key"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body"))
+    staying = per.where("_copies > 0")
+    found = rows.join(staying.where("_rows = 1"), same)
+    if not staying.where("_rows > 1").isEmpty():
+        again = rows.join(staying.where("_rows > 1"), same).withColumns({"_i": F.col("doc.doc_id"), "_k": F.col("_key")})
+        found = found.unionByName(again.dropDuplicates(["_i", "_k"]).drop("_i", "_k"))
+    return found.select("doc", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select("doc.*")
+
+
+def keep_one(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of docs that `decisions` (doc_id, body, kept) keeps; of rows that repeat doc_id and text one stays.
+
+    What goes is the smaller side of the join, as a rule, and the documents that stay
+    are not moved when it is small enough to be broadcast.
+    """
+    per = cut_lineage(decisions.groupBy(F.col("doc_id").alias("_id"), F.col("body").alias("_body"), "kept").agg(
+        F.count("*").alias("_rows")))
+    rows = docs.select(F.struct("*").alias("doc"), body_key().alias("_key"))
+    same = F.col("doc.doc_id").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_body"))
+    found = rows.join(per.where("not kept or _rows > 1"), same, "left_anti")
+    again = per.where("kept and _rows > 1")
+    if not again.isEmpty():
+        repeated = rows.join(again, same, "left_semi").withColumn("_i", F.col("doc.doc_id"))
+        found = found.unionByName(repeated.dropDuplicates(["_i", "_key"]).drop("_i"))
+    return found.select("doc.*")
+
+
 def with_prefix_sums(df: DataFrame, order: list[str], values: list[str]) -> DataFrame:
     """Add before_<v>, the sum of v over all earlier rows, and total_<v>, its sum over all rows.
 

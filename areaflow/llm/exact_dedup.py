@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import body_key, ship_package, small_batches, table
+from areaflow.llm.common import body_key, keep_one, ship_package, small_batches, table
 from areaflow.session import cut_lineage
 
 SLICE_BITS = 10
@@ -135,9 +135,9 @@ def _routed(route: np.ndarray, route_bits: int):
             if len(hit):
                 part = batch.take(pa.array(hit))
                 yield pa.RecordBatch.from_arrays([
-                    part.column("doc_id"), pa.array([len(t or "") for t in part.column("text").to_pylist()], pa.int64()),
+                    part.column("doc_id"), part.column("body"), pa.array([len(t or "") for t in part.column("text").to_pylist()], pa.int64()),
                     pa.array(fp[hit].view(np.int64)), pa.array([norms[i] for i in hit], pa.binary())],
-                    ["doc_id", "n_code", "fp", "bytes"])
+                    ["doc_id", "body", "n_code", "fp", "bytes"])
     return run
 
 
@@ -153,7 +153,7 @@ def routing_bits(repeated: DataFrame, route_bits: int) -> np.ndarray:
 
 
 def exact_duplicates(docs: DataFrame, slice_bits: int = SLICE_BITS, route_bits: int = ROUTE_BITS) -> DataFrame:
-    """One row per document: doc_id, body, keep_id, group_size, kept, text_sha256, keep_rows.
+    """One row per document: doc_id, body, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are identical without [\\x20\\x09-\\x0D].  Rows whose 64-bit
     fingerprint has a filter count above one go to verification, which groups them by
@@ -161,8 +161,8 @@ def exact_duplicates(docs: DataFrame, slice_bits: int = SLICE_BITS, route_bits:
     moved, and when it fills up more texts are verified, with the same result.  Of a
     group stays the row with most code points, then the smallest doc_id (null last).
     A null text is an empty one, and all empty texts are one group.  Rows that repeat
-    the kept doc_id and text are all `kept`; keep_rows counts them.  Only doc_id and
-    text are read.
+    the kept doc_id and text are all `kept`; `deduplicate` leaves one of them.  Only
+    doc_id and text are read.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -173,25 +173,26 @@ def exact_duplicates(docs: DataFrame, slice_bits: int = SLICE_BITS, route_bits:
         _facts, f"doc_id {id_type}, body bigint, n_code bigint, fp bigint, text_sha256 string"))
     repeated = cut_lineage(repeated_fingerprints(facts, slice_bits))
     route = routing_bits(repeated, route_bits)
-    routed = source.mapInArrow(_routed(route, route_bits), f"doc_id {id_type}, n_code bigint, fp bigint, bytes binary")
-    rank = F.struct((-F.col("n_code")).alias("short"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"))
+    routed = source.withColumn("body", body_key()).mapInArrow(
+        _routed(route, route_bits), f"doc_id {id_type}, body bigint, n_code bigint, fp bigint, bytes binary")
+    rank = F.struct((-F.col("n_code")).alias("short"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"),
+                    F.col("body").alias("body"))
     groups = routed.withColumn("rank", rank).groupBy("fp", "bytes").agg(
         F.count("*").alias("group_size"), F.min("rank").alias("best")).where("group_size > 1").select(
         F.col("fp").alias("_fp"), F.sha2("bytes", 256).alias("_sha"), "group_size",
-        F.col("best.id").alias("keep_id"), (-F.col("best.short")).alias("keep_code"))
+        F.col("best.id").alias("keep_id"), F.col("best.body").alias("keep_body"))
     joined = facts.join(groups, (F.col("fp") == F.col("_fp")) & (F.col("text_sha256") == F.col("_sha")), "left")
     alone = F.col("group_size").isNull()
     return joined.select(
         "doc_id", "body", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1)).cast("bigint").alias("group_size"),
-        (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_code") == F.col("keep_code")))).alias("kept"),
+        (alone | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("body") == F.col("keep_body")))).alias("kept"),
         "text_sha256")
 
 
-def drop_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, text) is not in `dropped` (doc_id, body)."""
-    out = dropped.select(F.col("doc_id").alias("_doc_id"), F.col("body").alias("_body"))
-    return docs.join(out, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (body_key() == F.col("_body")), "left_anti")
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """Rows of docs that stay, all columns: one of each group of equal texts."""
+    return keep_one(docs, exact_duplicates(docs).select("doc_id", "body", "kept"))
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import body_key, table, whole_text, with_prefix_sums, word_count
+from areaflow.llm.common import body_key, keep_copies, table, whole_text, with_prefix_sums, word_count
 from areaflow.session import cut_lineage
 
 BLOCK = 64
@@ -129,5 +129,16 @@ def mix(docs: DataFrame, block: int = BLOCK, shards: int = SHARDS, seed: int = S
                        (taken_before(begin + F.col("size"), block) - taken_before(begin, block)).alias("taken"))
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """Rows of docs as often as the mix takes them, all columns.
+
+    A document whose words are taken in part counts as whole when half of them or more
+    are; that concerns the first and last document of each pass over a source.
+    """
+    taken = mix(docs, **options)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0)
+    return keep_copies(docs, taken.select("doc_id", "body", copies.alias("copies")))
+
+
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select("doc_id", "size", "source_size", "target", "taken")

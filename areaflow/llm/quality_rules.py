@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaflow.llm.common import SPACES, table, whole_text
+from areaflow.session import cut_lineage
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -66,13 +67,13 @@ def common_counts(spread: Column, lang: Column) -> Column:
         (F.length(spread) - F.length(F.replace(spread, w, F.lit("")))) / F.length(w)).cast("bigint"))
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """Counts of each text beside `doc`, the row as it came: word and class counts, common words.
+def profile(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """Counts of each text beside `doc`, the listed columns of its row: word and class counts, common words.
 
     A null text is an empty one.  Everything is computed from the whole text.
     """
     text = F.col("_text")
-    rows = docs.select(F.struct("*").alias("doc"), whole_text().alias("_text"), F.col("lang").alias("_lang"))
+    rows = docs.select(F.struct(*columns).alias("doc"), whole_text().alias("_text"), F.col("lang").alias("_lang"))
     trimmed = F.btrim(text, F.lit(SPACES))
     rows = rows.withColumn("words", F.when(trimmed == "", F.array().cast("array<string>")).otherwise(
         F.split(trimmed, r"[\x20\x09-\x0D]+")))
@@ -129,9 +130,9 @@ def distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2, F.lit(0.0)))
 
 
-def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_common: float = MAX_COMMON_DISTANCE,
+def judge(docs: DataFrame, columns: list[str] | None = None, max_class: float = MAX_CLASS_DISTANCE, max_common: float = MAX_COMMON_DISTANCE,
           min_words: int = MIN_JUDGED_WORDS) -> DataFrame:
-    """Counts and verdict of every document beside `doc`, its row.
+    """Counts and verdict of every document beside `doc`, its row or the listed `columns` of it.
 
     base_failed: under 50 words, or over half of the words in repeated 3-word
     windows.  Else a document is rejected when its character classes are further
@@ -139,10 +140,14 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_common: fl
     `max_common`; texts under `min_words` words are judged by the base alone, and
     those of a language without a list by character classes against all such texts.
     Null and empty texts have no words and fail.  Columns of `docs` stay inside
-    `doc`, so none can clash; doc_id, text and lang must be there.
+    `doc`, so none can clash; text and lang must be there.  Without the text among
+    `columns` the counts are written once; with it they are taken twice, first for the
+    means, so that no text is written.
     """
-    known = references(profile(docs), min_words)
-    rows = repeated_words(profile(docs))
+    rows = repeated_words(profile(docs, columns or docs.columns)).drop("words")
+    if columns and "text" not in columns:
+        rows = cut_lineage(rows)
+    known = references(rows, min_words)
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     by_lang = {"classes": F.when(F.lit(False), F.lit(None).cast("array<double>"))}
     by_lang["common"] = by_lang["classes"]
@@ -162,7 +167,15 @@ def judge(docs: DataFrame, max_class: float = MAX_CLASS_DISTANCE, max_common: fl
         "class_distance", "common_distance")
 
 
+def keep_good(docs: DataFrame) -> DataFrame:
+    """Rows of docs that the rules keep, all columns."""
+    # A row number that the result needs keeps the optimizer from moving the filter, and a copy of all counts in
+    # each place that uses them, below the projections.
+    judged = judge(docs).withColumn("_row", F.monotonically_increasing_id()).where("kept")
+    return judged.select(F.when(F.col("_row") >= 0, F.col("doc")).alias("doc")).select("doc.*")
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
-    return judge(table(spark, folder, "documents").select("doc_id", "text", "lang")).select("doc.doc_id", *[
+    return judge(table(spark, folder, "documents"), ["doc_id"]).select("doc.doc_id", *[
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "class_distance", "common_distance"])

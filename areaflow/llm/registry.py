@@ -1,8 +1,10 @@
 """Registered queries of this subpackage and their checking SQL."""
 
+import corpus_pipeline
 from areaflow.llm import exact_dedup, html_wrappers, mixing, quality_model, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op2_exact_dedup": exact_dedup.op2_exact_dedup,
     "op3_byte_bpe": token_tree.op3_byte_bpe,

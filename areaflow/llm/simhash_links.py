@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import body_key, ship_package, small_batches, table
-from areaflow.llm.exact_dedup import drop_rows
+from areaflow.llm.common import body_key, keep_one, ship_package, small_batches, table
 from areaflow.llm.linking import smallest_reachable
 from areaflow.session import cut_lineage
 
@@ -218,5 +217,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
         F.col("best.id").alias("component_id"), mine.eqNullSafe(F.col("best")).alias("kept"))
 
 
+def deduplicate(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """Rows of docs that stay, all columns: the first document of each component."""
+    return keep_one(docs, near_duplicates(docs, shingle, radius).select("doc_id", "body", "kept"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
