@@ -89,7 +89,7 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEE
     rng = np.random.default_rng(seed)
     halves = [(x[p[: len(x) // 2]], x[p[len(x) // 2:]]) for x in (positive, unlabelled) for p in [rng.permutation(len(x))]]
     (p_fit, p_held), (u_fit, u_held) = halves
-    if not len(p_held) or not len(u_held):
+    if not all(map(len, (p_fit, p_held, u_fit, u_held))):
         return 0.5
     model = fit(p_fit, u_fit, 0.5, seed, epochs=20, plain=True)
     p, u = np.sort(model.score(p_held)), np.sort(model.score(u_held))
