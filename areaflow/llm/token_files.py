@@ -23,7 +23,7 @@ from areaflow.llm.common import ship_package, small_batches, table
 from areaflow.session import checkpoint_dir, cut_lineage
 
 END_ID = 2
-CACHED_PIECES = 300_000  # in each of two generations
+CACHED_PIECES = 450_000  # in each of two generations
 READ_BYTES = 8_000_000
 # Fixed values of the file format: added to a rotated checksum, and the size of frames and index entries.
 MASK_DELTA = 0xA282EAD8
