@@ -11,15 +11,29 @@ ENCLOSURE_WORDS = ["阳台", "封闭", "未封闭", "雨棚", "雨篷", "飘窗"
                    "canopy", "bay window"]
 SPECIAL_WORDS = ["地下室", "变形缝", "basement", "shared area", "fire refuge", "equipment room", "parking",
                  "auxiliary room", "deformation joint"]
-EXCLUDED_PHRASES = "不计入|不计算|excluded|not counted"
+EXCLUDED_PHRASES = "不计入|不计算|不应计算|不应计入|不予计算|excluded|not counted|not be counted|not be included"
 HALF_PHRASES = "1/2|50%|half"
 FULL_PHRASES = "全面积|合并.*计算|full area|100%"
-AT_LEAST = ["above", "at least", ">=", "≥", "及以上", "以上", "and above", "or more"]
-BELOW = ["below", "under", "less than", "<", "低于", "小于", "以下", "or below"]
+# Comparators before and after a length; a negated one holds the plain one, so all are tried longest first.
+BEFORE_LENGTH = {
+    ">=": ["not less than", "no less than", "not lower than", "not below", "at least", "above", ">=", "≥", "不小于", "不低于",
+           "不少于"],
+    "<=": ["not more than", "no more than", "not greater than", "not above", "not exceeding", "at most", "up to", "<=", "≤",
+           "不大于", "不高于", "不超过"],
+    ">": ["more than", "greater than", "higher than", "exceeding", "over", ">", "大于", "高于", "超过"],
+    "<": ["below", "under", "less than", "lower than", "<", "低于", "小于", "不足"]}
+AFTER_LENGTH = {">=": ["及以上", "以上", "and above", "or above", "and over", "or more"],
+                "<=": ["及以下", "and below", "or below", "or less"], "<": ["以下"]}
 CLAUSE_START = r"\n(?=\s*\d+\.\d+\.\d+\s)"
 CLAUSE = r"(?s)^\s*(\d+\.\d+\.\d+)\s+(.*)$"
-THRESHOLD = (r"(?:(below|under|less than|above|at least|低于|小于|<|>=|≥)\s*)?(\d+(?:\.\d+)?)\s*(?:m|米)(?![A-Za-z])"
-             r"\s*(及以上|以上|以下|and above|or more|or below)?")
+
+
+def _any(words: dict[str, list[str]]) -> str:
+    return "|".join(sorted((w for ws in words.values() for w in ws), key=len, reverse=True))
+
+
+THRESHOLD = (rf"(?i)(?:({_any(BEFORE_LENGTH)})\s*)?(\d+(?:\.\d+)?)\s*(?:met(?:re|er)s?|m|米)(?![A-Za-z])"
+             rf"\s*({_any(AFTER_LENGTH)})?")
 SECTION_TITLES = {"height": "Height Requirements", "enclosure": "Enclosure Requirements",
                   "special_use": "Special Space Requirements"}
 DEFAULT_BALCONY = 0.5
@@ -59,24 +73,57 @@ def sub_clauses(clause_rows: DataFrame) -> DataFrame:
     return clause_rows.select("*", F.posexplode(parts).alias("sub_ord", "sub"))
 
 
+def comparator(before: Column, after: Column) -> Column:
+    sign = F.lit(None).cast("string")
+    for words, found in ((AFTER_LENGTH, after), (BEFORE_LENGTH, before)):
+        for op, listed in words.items():
+            sign = F.when(F.lower(found).isin(listed), op).otherwise(sign)
+    return sign
+
+
+def compared_lengths(sub: Column) -> Column:
+    """Array of (comparator, num, metres): every 'number m' of a text that has a comparator, in order."""
+    hits = F.arrays_zip(F.regexp_extract_all(sub, F.lit(THRESHOLD), 1).alias("before"),
+                        F.regexp_extract_all(sub, F.lit(THRESHOLD), 2).alias("num"),
+                        F.regexp_extract_all(sub, F.lit(THRESHOLD), 3).alias("after"))
+    found = F.transform(hits, lambda t: F.struct(
+        comparator(t["before"], t["after"]).alias("comparator"), t["num"].alias("num"),
+        t["num"].try_cast("double").alias("metres")))
+    return F.filter(found, lambda t: t["comparator"].isNotNull() & t["metres"].isNotNull())
+
+
 def thresholds(subs: DataFrame) -> DataFrame:
-    """Every 'number m' with a comparator: metres, comparator, condition and bounds."""
-    hits = F.arrays_zip(F.regexp_extract_all("sub", F.lit(THRESHOLD), 1).alias("before"),
-                        F.regexp_extract_all("sub", F.lit(THRESHOLD), 2).alias("num"),
-                        F.regexp_extract_all("sub", F.lit(THRESHOLD), 3).alias("after"))
-    rows = subs.select("*", F.posexplode(hits).alias("hit_ord", "t"))
-    sign = F.when(F.col("t.before").isin(AT_LEAST) | F.col("t.after").isin(AT_LEAST), ">=").when(
-        F.col("t.before").isin(BELOW) | F.col("t.after").isin(BELOW), "<")
-    out = rows.withColumn("comparator", sign).withColumn("metres", F.col("t.num").try_cast("double")).where(
-        "comparator is not null and metres is not null")
-    return out.withColumn("condition_logic", F.concat_ws(" ", F.lit("h"), "comparator", "t.num")).drop("t")
+    """Every 'number m' with a comparator: metres, comparator and condition."""
+    rows = subs.select("*", F.posexplode(compared_lengths(F.col("sub"))).alias("hit_ord", "t"))
+    return rows.select(*subs.columns, "hit_ord", "t.comparator", "t.metres", F.concat_ws(
+        " ", F.lit("h"), "t.comparator", "t.num").alias("condition_logic"))
+
+
+def conditions(subs: DataFrame) -> DataFrame:
+    """Conditions of each sub-clause: a lower bound followed by a higher upper bound is one range."""
+    rows = subs.withColumn("_t", compared_lengths(F.col("sub")))
+    lower, upper = (">", ">="), ("<", "<=")
+
+    def text(t: Column) -> Column:
+        return F.concat_ws(" ", F.lit("h"), t["comparator"], t["num"])
+
+    def range_of(a: Column, b: Column) -> Column:
+        return a["comparator"].isin(*lower) & b["comparator"].isin(*upper) & (a["metres"] <= b["metres"])
+
+    def one(t: Column, i: Column) -> Column:
+        after, before = F.get("_t", i + 1), F.get("_t", i - 1)
+        return F.when(range_of(t, after), F.concat_ws(" and ", text(t), text(after))).when(
+            (i > 0) & range_of(before, t), F.lit(None)).otherwise(text(t))
+
+    return rows.select(*subs.columns, F.posexplode(F.transform("_t", one)).alias("hit_ord", "condition_logic")).where(
+        "condition_logic is not null")
 
 
 def extract_rules(texts: DataFrame) -> DataFrame:
     """Rule rows of every text; a condition without a coefficient gives no rule."""
     subs = sub_clauses(clauses(texts))
     keys = ["doc_id", "clause_ord", "sub_ord"]
-    found = thresholds(subs).select(*keys, "hit_ord", "condition_logic")
+    found = conditions(subs).select(*keys, "hit_ord", "condition_logic")
     category = F.coalesce(category_of(F.col("sub")), category_of(F.col("body")))
     return subs.withColumn("coefficient", coefficient_of(F.col("sub"))).withColumn("category", category).where(
         "coefficient is not null and category is not null").join(found, keys, "left").select(
@@ -124,20 +171,31 @@ def rule_context(rules: DataFrame) -> DataFrame:
 
 # --- conditions as bounds; nothing is ever evaluated as code ---
 
-_NUM = r"(\d+(?:\.\d+)?)"
+_NUM = r"(-?\d+(?:\.\d+)?)"
 _RIGHT = rf"h\s*(<=|>=|<|>|==)\s*{_NUM}"
 _LEFT = rf"{_NUM}\s*(<=|>=|<|>)\s*h"
-_WHOLE = rf"^\s*(?:(?:{_NUM}\s*(?:<=|>=|<|>)\s*)?h\s*(?:<=|>=|<|>|==)\s*{_NUM}|{_NUM}\s*(?:<=|>=|<|>)\s*h)" \
-         rf"(?:\s+and\s+(?:h\s*(?:<=|>=|<|>|==)\s*{_NUM}|{_NUM}\s*(?:<=|>=|<|>)\s*h))*\s*$"
+_COMPARE = rf"(?:(?:{_NUM}\s*(?:<=|>=|<|>)\s*)?h\s*(?:<=|>=|<|>|==)\s*{_NUM}|{_NUM}\s*(?:<=|>=|<|>)\s*h)"
+_WHOLE = rf"^\s*{_COMPARE}(?:\s+and\s+{_COMPARE})*\s*$"
+_BRACKETED = rf"\(\s*((?:{_COMPARE})(?:\s+and\s+{_COMPARE})*)\s*\)"
 
 
 def with_bounds(rules: DataFrame) -> DataFrame:
-    """Add lo, lo_incl, hi, hi_incl and `parsed` for conditions on h."""
-    logic = F.col("condition_logic")
+    """Add lo, lo_incl, hi, hi_incl and `parsed` for conditions on h: a row for each interval that `or` joins.
+
+    Brackets may stand round comparisons and round parts joined by `and`; a condition
+    that distributes `and` over `or` is not parsed.
+    """
+    logic = F.lower("condition_logic")
+    for _ in range(3):  # brackets round a comparison, then round what they were part of
+        logic = F.regexp_replace(logic, _BRACKETED, "$1")
+    parts = rules.select("*", F.split(logic, r"\s+or\s+").alias("_parts")).withColumn(
+        "parsed", F.coalesce(F.forall("_parts", lambda p: p.rlike(_WHOLE)), F.lit(False)))
+    rows = parts.select(*rules.columns, "parsed", F.explode_outer(F.when(F.col("parsed"), F.col("_parts"))).alias("_part"))
+    part = F.col("_part")
 
     def comparisons(pattern: str, op_group: int, num_group: int, flip: bool) -> Column:
-        ops = F.regexp_extract_all(logic, F.lit(pattern), op_group)
-        nums = F.regexp_extract_all(logic, F.lit(pattern), num_group)
+        ops = F.regexp_extract_all(part, F.lit(pattern), op_group)
+        nums = F.regexp_extract_all(part, F.lit(pattern), num_group)
         turned = F.create_map(*[F.lit(x) for pair in (("<", ">"), (">", "<"), ("<=", ">="), (">=", "<=")) for x in pair])
         return F.zip_with(ops, nums, lambda o, n: F.struct(
             (F.element_at(turned, o) if flip else o).alias("op"), n.cast("double").alias("v")))
@@ -147,9 +205,7 @@ def with_bounds(rules: DataFrame) -> DataFrame:
         c["v"].alias("v"), (c["op"] == ">").alias("strict")))
     upper = F.transform(F.filter("_c", lambda c: c["op"].isin("<", "<=", "==")), lambda c: F.struct(
         c["v"].alias("v"), (c["op"] != "<").alias("incl")))
-    out = rules.withColumn("parsed", F.coalesce(logic.rlike(_WHOLE), F.lit(False)))
-    out = out.withColumn("_c", F.when(F.col("parsed"), every)).withColumn("_lo", F.array_max(lower)).withColumn(
-        "_hi", F.array_min(upper))
+    out = rows.withColumn("_c", every).withColumn("_lo", F.array_max(lower)).withColumn("_hi", F.array_min(upper))
     return out.select(*rules.columns, "parsed", F.col("_lo.v").alias("lo"), (~F.col("_lo.strict")).alias("lo_incl"),
                       F.col("_hi.v").alias("hi"), F.col("_hi.incl").alias("hi_incl"))
 
@@ -189,12 +245,13 @@ def balcony_coefficients(storeys: DataFrame, rules: DataFrame) -> DataFrame:
 def special_matches(pairs: DataFrame, rules: DataFrame) -> DataFrame:
     """First special rule whose description holds the category or is held by it.
 
-    `pairs` are distinct (region, category); an empty description matches all.
+    `pairs` are distinct (region, category); an empty description matches all, and a
+    rule without a coefficient counts whole.
     """
     special = rules.where("category = 'special_use'").select(
         F.col("region").alias("r_region"), "rule_ord", "description", "coefficient")
     text = F.upper(F.coalesce("description", F.lit("")))
     near = (F.col("region") == F.col("r_region")) & (F.contains(F.col("category"), text) | F.contains(text, F.col("category")))
     return pairs.join(special, near).groupBy("region", "category").agg(
-        F.min_by("coefficient", "rule_ord").alias("special_coef"),
+        F.min_by(F.coalesce("coefficient", F.lit(1.0)), "rule_ord").alias("special_coef"),
         F.min_by(F.coalesce("description", F.lit("")), "rule_ord").alias("special_description"))

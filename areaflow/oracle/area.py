@@ -71,7 +71,9 @@ _D = "(doc_id % 5)"
 CTES.update({
     "cl": ([], f"""SELECT doc_id, '3.0.' || (doc_id % 30) AS citation, 1 AS c, 'Storey height below 2.' || {_D} || ' m counts 1/2 area; height of 2.' || {_D} || ' m and above counts full area.' AS body FROM documents
         UNION ALL SELECT doc_id, '3.1.' || (doc_id % 9), 2, (['阳台应计算1/2面积；封闭阳台应计算全面积。', '结构层高在2.20m及以上的，应计算全面积；结构层高在2.20m以下的，应计算1/2面积。',
-        'Parking and basement areas are excluded.', '建筑物内的变形缝，应合并计算。'])[doc_id % 4 + 1] FROM documents"""),
+        'Parking and basement areas are excluded.', '建筑物内的变形缝，应合并计算。', 'Storey height not less than 2.2 m counts full area.',
+        '层高不低于2.20m的，应计算全面积；结构层高在1.20m及以上至2.10m以下的，应计算1/2面积。', '层高大于4.50米的部分不应计算面积。',
+        'Basement parts of more than 3.5 metres or not more than 1.2 meters are excluded.'])[doc_id % 8 + 1] FROM documents"""),
     "sub": (["cl"], r"""SELECT doc_id, citation, c, unnest(p) AS sub, generate_subscripts(p, 1) - 1 AS sub_ord FROM (
         SELECT *, list_filter(list_transform(regexp_split_to_array(rtrim(body, '.'), '[;；。]'), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM cl)"""),
 })
@@ -101,9 +103,18 @@ ORACLES = {
     "report_components": with_ctes(f"""SELECT c.model_id, c.storey_id, name AS story_name, c.ord, category, {rnd('raw_area', 2)} AS raw_area, coefficient, {rnd('effective_area', 2)} AS effective_area, note
         FROM p_comp c JOIN p_k USING (model_id, storey_id)""", "p_comp", "p_k"),
     "clause_split": with_ctes("SELECT doc_id, citation, body FROM cl", "cl"),
-    "clause_category": with_ctes("""SELECT doc_id, citation, CASE WHEN c = 1 THEN 'height' ELSE (['enclosure','height','special_use','special_use'])[doc_id % 4 + 1] END AS category FROM cl""", "cl"),
+    "clause_category": with_ctes("""SELECT doc_id, citation, CASE WHEN c = 1 THEN 'height' ELSE (['enclosure','height','special_use','special_use','height','height','height','special_use'])[doc_id % 8 + 1] END AS category FROM cl""", "cl"),
+    # The wording of the first clause is one sentence with two lengths; those of the second are listed by hand.
     "threshold_extract": with_ctes(r"""SELECT doc_id, citation, sub_ord, comparator, CAST(num AS DOUBLE) AS metres, 'h ' || comparator || ' ' || num AS condition_logic FROM (
-        SELECT *, regexp_extract(sub, '(\d+(\.\d+)?) ?m', 1) AS num, CASE WHEN regexp_matches(sub, 'above|以上') THEN '>=' WHEN regexp_matches(sub, 'below|以下') THEN '<' END AS comparator FROM sub)
-        WHERE num <> '' AND comparator IS NOT NULL""", "sub"),
-    "coef_extract": with_ctes("""SELECT doc_id, citation, sub_ord, CASE WHEN contains(sub, 'excluded') THEN 0.0 WHEN contains(sub, '1/2') THEN 0.5 WHEN contains(sub, 'full') OR contains(sub, '全面积') OR contains(sub, '合并') THEN 1.0 END AS coefficient FROM sub""", "sub"),
+        SELECT doc_id, citation, sub_ord, regexp_extract(sub, '(\d+(\.\d+)?) m', 1) AS num, CASE WHEN contains(sub, 'above') THEN '>=' ELSE '<' END AS comparator FROM sub WHERE c = 1
+        UNION ALL SELECT doc_id, citation, s.sub_ord, num, comparator FROM sub s JOIN (VALUES (1, 0, '2.20', '>='), (1, 1, '2.20', '<'), (4, 0, '2.2', '>='), (5, 0, '2.20', '>='),
+        (5, 1, '1.20', '>='), (5, 1, '2.10', '<'), (6, 0, '4.50', '>'), (7, 0, '3.5', '>'), (7, 0, '1.2', '<=')) v(variant, sub_ord, num, comparator)
+        ON v.variant = doc_id % 8 AND v.sub_ord = s.sub_ord WHERE c = 2)""", "sub"),
+    "rule_conditions": with_ctes(r"""SELECT doc_id, citation, category, condition_logic, coefficient FROM cl JOIN (VALUES (0, 'enclosure', '', 0.5), (0, 'enclosure', '', 1.0),
+        (1, 'height', 'h >= 2.20', 1.0), (1, 'height', 'h < 2.20', 0.5), (2, 'special_use', '', 0.0), (3, 'special_use', '', 1.0), (4, 'height', 'h >= 2.2', 1.0),
+        (5, 'height', 'h >= 2.20', 1.0), (5, 'height', 'h >= 1.20 and h < 2.10', 0.5), (6, 'height', 'h > 4.50', 0.0)) v(variant, category, condition_logic, coefficient) ON v.variant = doc_id % 8 WHERE c = 2
+        UNION ALL SELECT doc_id, citation, 'special_use', condition_logic, 0.0 FROM cl, (VALUES ('h > 3.5'), ('h <= 1.2')) v(condition_logic) WHERE c = 2 AND doc_id % 8 = 7
+        UNION ALL SELECT doc_id, citation, 'height', 'h < 2.' || (doc_id % 5), 0.5 FROM cl WHERE c = 1
+        UNION ALL SELECT doc_id, citation, 'height', 'h >= 2.' || (doc_id % 5), 1.0 FROM cl WHERE c = 1""", "cl"),
+    "coef_extract": with_ctes("""SELECT doc_id, citation, sub_ord, CASE WHEN contains(sub, 'excluded') OR contains(sub, '不应计算') THEN 0.0 WHEN contains(sub, '1/2') THEN 0.5 WHEN contains(sub, 'full') OR contains(sub, '全面积') OR contains(sub, '合并') THEN 1.0 END AS coefficient FROM sub""", "sub"),
 }

@@ -72,7 +72,7 @@ _NAME_KIND = """CASE WHEN express_id % 97 = 0 THEN 'IFCPROJECT' WHEN express_id
 _AREA_FACTOR = "coalesce(manual_factor, CASE WHEN semantic_category = 'BALCONY' THEN 0.5 ELSE 1.0 END)"
 
 ORACLES = {
-    "scan_entities": with_ctes("""SELECT model_id, express_id AS entity_id, upper(ifc_type) AS entity_type, 5 AS n_args, '''' || name || '''' AS arg_name FROM elements""", "elements"),
+    "scan_entities": with_ctes("""SELECT model_id, express_id AS entity_id, upper(ifc_type) AS entity_type, 5 AS n_args, '''' || name || '; it''''s (a)''' AS arg_name FROM elements""", "elements"),
     "scan_by_type": with_ctes("SELECT model_id, express_id, ifc_type, name FROM elements WHERE ifc_type IN ('IfcSpace','IfcSlab')", "elements"),
     "mesh_explode": with_ctes(f"""SELECT model_id, express_id, face, x1_ AS x1, y1_ AS y1, z1_ AS z1, x2_ AS x2, y2_ AS y2, z2_ AS z2, x3_ AS x3, y3_ AS y3, z3_ AS z3 FROM (
         SELECT model_id, express_id, face, {_TRI} FROM mesh, (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) t(face, v1, v2, v3))""", "mesh"),

@@ -119,6 +119,11 @@ def coef_extract(spark: SparkSession, folder: str) -> DataFrame:
     return subs.select("doc_id", "citation", "sub_ord", rules.coefficient_of(F.col("sub")).alias("coefficient"))
 
 
+def rule_conditions(spark: SparkSession, folder: str) -> DataFrame:
+    return rules.extract_rules(Buildings(spark, folder).reg_texts()).select(
+        "doc_id", "citation", "category", "condition_logic", "coefficient")
+
+
 def rule_set(spark: SparkSession, folder: str) -> DataFrame:
     found = rules.extract_rules(Buildings(spark, folder).reg_texts())
     order = F.struct("clause_ord", "sub_ord", "hit_ord")
@@ -138,4 +143,4 @@ def floor_area(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     height_coef, balcony_coef, special_rule, story_components, story_adjustments, area_buckets, residual_component,
     model_total, area_rollup, report_summary, report_stories, report_components, report_json, clause_split,
-    clause_category, threshold_extract, coef_extract, rule_set, floor_area)}
+    clause_category, threshold_extract, coef_extract, rule_conditions, rule_set, floor_area)}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,18 +11,22 @@ from areaflow.functions import geometry
 from areaflow.functions.numbers import rounded
 from areaflow.operators import classify, clearance, features, rules
 from areaflow.sources import meshes, model_files
+from areaflow.session import checkpoint_dir
 from areaflow.sources.derived import Buildings
 
 SCANNED = ["IfcSpace", "IfcSlab"]
 
 
 def scan_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Elements written as an exchange file, with marks of the format inside their names, and read from it."""
     e = Buildings(spark, folder).elements()
-    text = F.concat(F.lit("#"), "express_id", F.lit("="), F.upper("ifc_type"), F.lit("('"), "guid", F.lit("',$,'"),
-                    "name", F.lit("',#"), "placement_id", F.lit(",(1.,2.))"))
-    out = model_files.parse_entities(e.select("model_id", text.alias("statement")))
-    return out.select("model_id", "entity_id", "entity_type", F.size("args").cast("bigint").alias("n_args"),
-                      F.get("args", 2).alias("arg_name"))
+    text = F.concat(F.lit("#"), "express_id", F.lit("="), F.upper("ifc_type"), F.lit("('"), "guid", F.lit("',#"), "model_id",
+                    F.lit(",'"), "name", F.lit("; it''s (a)',#"), "placement_id", F.lit(",(1.,(2.,$)));"))
+    files = f"{checkpoint_dir(spark)}/exchange-{uuid.uuid4().hex}"
+    e.select(text).write.text(files)
+    out = model_files.parse_entities(model_files.read_statements(spark, files))
+    return out.select(F.substring(F.get("args", 1), 2, 20).cast("bigint").alias("model_id"), "entity_id", "entity_type",
+                      F.size("args").cast("bigint").alias("n_args"), F.get("args", 2).alias("arg_name"))
 
 
 def scan_by_type(spark: SparkSession, folder: str) -> DataFrame:

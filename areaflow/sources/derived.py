@@ -285,8 +285,12 @@ class Buildings:
             (d % 5).cast("string"), F.lit(" m counts 1/2 area; height of 2."), (d % 5).cast("string"),
             F.lit(" m and above counts full area."),
             F.lit("\n3.1."), (d % 9).cast("string"), F.lit(" "),
-            pick(d % 4, ["阳台应计算1/2面积；封闭阳台应计算全面积。", "结构层高在2.20m及以上的，应计算全面积；结构层高在2.20m以下的，应计算1/2面积。",
-                         "Parking and basement areas are excluded.", "建筑物内的变形缝，应合并计算。"]))
+            pick(d % 8, ["阳台应计算1/2面积；封闭阳台应计算全面积。", "结构层高在2.20m及以上的，应计算全面积；结构层高在2.20m以下的，应计算1/2面积。",
+                         "Parking and basement areas are excluded.", "建筑物内的变形缝，应合并计算。",
+                         "Storey height not less than 2.2 m counts full area.",
+                         "层高不低于2.20m的，应计算全面积；结构层高在1.20m及以上至2.10m以下的，应计算1/2面积。",
+                         "层高大于4.50米的部分不应计算面积。",
+                         "Basement parts of more than 3.5 metres or not more than 1.2 meters are excluded."]))
         return self.table("documents").select("doc_id", F.concat("text", clause).alias("text"))
 
     def wall_curves(self) -> DataFrame:

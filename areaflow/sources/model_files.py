@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed patterns of the exchange format.
-ENTITY = r"#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((?s)(.*)\)\s*$"
-ARGUMENT = r"('(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*'|\((?:[^()']|'(?:[^']|'')*')*\))*\)|[^,()'\s][^,()']*(?:\([^()]*\))?)"
+# Fixed patterns of the exchange format.  Strings double their quotes; lists nest up to LIST_DEPTH deep.
+LIST_DEPTH = 6
+QUOTED = r"'(?:[^']++|'')*+'"
+COMMENT = r"/\*(?s:.*?)\*/"
+LIST = rf"\((?:[^()']++|{QUOTED})*+\)"
+for _ in range(LIST_DEPTH - 1):
+    LIST = rf"\((?:[^()']++|{QUOTED}|{LIST})*+\)"
+STATEMENT = rf"{QUOTED}|{COMMENT}|(#\d+\s*=(?:[^';/]++|{QUOTED}|{COMMENT}|/)*+);"
+INSTANCE = r"#\d+\s*="
+ENTITY = r"(?s)^#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*$"
+ARGUMENT = rf"({QUOTED}|[A-Za-z0-9_]*{LIST}|[^,()'\s]+(?:\s+[^,()'\s]+)*)"
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """Statements end with ';', so files split into rows and tasks without whole-file reads."""
-    return spark.read.option("lineSep", ";").text(path).select(
-        F.input_file_name().alias("file"), F.trim(F.regexp_replace("value", r"^\s+", "")).alias("statement"))
+    """Instance statements (file, statement) of all files below the path.
+
+    A line that ends in ';' ends a statement, because strings hold no line ends, so
+    files split into rows and tasks there; a row is then cut into whole statements by
+    a pattern that knows strings and comments.  What looks like an instance but is not
+    whole comes as it is and ends among the rejected statements.  The first line tells the line end;
+    files with another one are still read right, but whole.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).limit(1).collect()
+    line_end = "\r\n" if first and first[0]["value"].endswith("\r") else "\n"
+    rows = spark.read.option("lineSep", f";{line_end}").text(path)
+    text = F.concat("value", F.lit(";"))
+    cut = F.filter(F.regexp_extract_all(text, F.lit(STATEMENT), 1), lambda s: F.length(s) > 0)
+    rest = F.regexp_replace(text, STATEMENT, "")
+    broken = F.when(rest.rlike(INSTANCE), F.array(F.trim(rest))).otherwise(F.array().cast("array<string>"))
+    return rows.select(F.input_file_name().alias("file"), F.explode(F.concat(cut, broken)).alias("statement"))
+
+
+def without_comments(statement: Column) -> Column:
+    return F.trim(F.regexp_replace(statement, rf"({QUOTED})|{COMMENT}", "$1"))
 
 
 def parse_entities(statements: DataFrame) -> DataFrame:
     """entity_id, entity_type (upper case) and the top-level arguments of each instance statement."""
-    s = F.col("statement")
     keep = [c for c in statements.columns if c != "statement"]
-    return statements.where(s.rlike(r"^#\d+\s*=")).select(
-        *keep, F.try_cast(F.regexp_extract(s, ENTITY, 1), "bigint").alias("entity_id") if hasattr(F, "try_cast")
-        else F.regexp_extract(s, ENTITY, 1).cast("bigint").alias("entity_id"),
-        F.upper(F.regexp_extract(s, ENTITY, 2)).alias("entity_type"),
-        F.regexp_extract_all(F.regexp_extract(s, ENTITY, 3), F.lit(ARGUMENT), 1).alias("args"))
+    s = without_comments(F.col("statement"))
+    return statements.select(*keep, s.alias("statement")).where(is_entity(F.col("statement"))).select(
+        *keep, F.regexp_extract("statement", ENTITY, 1).try_cast("bigint").alias("entity_id"),
+        F.upper(F.regexp_extract("statement", ENTITY, 2)).alias("entity_type"),
+        F.regexp_extract_all(F.regexp_extract("statement", ENTITY, 3), F.lit(ARGUMENT), 1).alias("args"))
+
+
+def is_entity(statement: Column) -> Column:
+    return statement.rlike(ENTITY) & F.regexp_extract(statement, ENTITY, 1).try_cast("bigint").isNotNull()
+
+
+def rejected_statements(statements: DataFrame) -> DataFrame:
+    """Side table: instance statements that are no single entity, such as those without an argument list."""
+    return statements.where(~F.coalesce(is_entity(without_comments(F.col("statement"))), F.lit(False)))
 
 
 def by_type(table: DataFrame, types: list[str], column: str = "ifc_type") -> DataFrame:

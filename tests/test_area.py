@@ -110,6 +110,33 @@ def test_height_rules_last_match_and_rejects(spark):
     assert [r.rule_ord for r in rules.unparsed(rows).collect()] == [4]
 
 
+def test_conditions_joined_by_or_and_brackets(spark):
+    rows = spark.createDataFrame([
+        ("r", "height", 1, "", "(h < 1) or (h >= 2 and h < 3) or h == 7", 0.25, ""), ("r", "height", 2, "", "-2 < h and (h < 0)", 0.5, ""),
+        ("r", "height", 3, "", "(h < 1 or h > 2) and h < 9", 0.1, ""), ("r", "height", 4, "", "((h > 20))", 0.75, "")], RULES)
+    heights = spark.createDataFrame([("r", float(h)) for h in (-1, 0, 1, 2, 3, 7, 8, 21)], "region string, height double")
+    got = {r.height: r.height_coef for r in rules.height_coefficients(heights, rows).collect()}
+    assert got == {-1: 0.5, 0: 0.25, 1: 1.0, 2: 0.25, 3: 1.0, 7: 0.25, 8: 1.0, 21: 0.75}
+    assert [r.rule_ord for r in rules.unparsed(rows).collect()] == [3]
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Storey height not less than 2.2 m counts full area", [("h >= 2.2", 1.0)]), ("层高不低于2.20m的，应计算全面积", [("h >= 2.20", 1.0)]),
+    ("结构层高在1.20m及以上至2.10m以下的部位应计算1/2面积", [("h >= 1.20 and h < 2.10", 0.5)]), ("层高低于1.20m的不应计算面积", [("h < 1.20", 0.0)]),
+    ("Storey height under 2.2 metres counts half", [("h < 2.2", 0.5)]), ("Storey height exceeding 5 m or not above 1.2 m is excluded",
+                                                                      [("h > 5", 0.0), ("h <= 1.2", 0.0)])])
+def test_wording_of_lengths(spark, text, want):
+    texts = spark.createDataFrame([(1, f"3.0.1 {text}.")], "doc_id bigint, text string")
+    rows = rules.extract_rules(texts).orderBy("hit_ord").collect()
+    assert [(r.condition_logic, r.coefficient) for r in rows] == want
+
+
+def test_special_rule_without_coefficient_counts_whole(spark):
+    rows = spark.createDataFrame([("r", "special_use", 1, "Parking", "", None, "")], RULES)
+    pairs = spark.createDataFrame([("r", "PARKING")], "region string, category string")
+    assert rules.special_matches(pairs, rows).first().special_coef == 1.0
+
+
 def test_special_match_both_ways_and_empty(spark):
     rows = spark.createDataFrame([("r", "special_use", 1, "Parking Garage", "", 0.5, ""),
                                   ("r", "special_use", 2, "", "", 0.25, "")], RULES)

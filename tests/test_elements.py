@@ -94,13 +94,27 @@ def test_alignment_stream_keeps_finished_batches(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").where("confidence = 0.68").count() == 6
 
 
-def test_scan_of_exchange_file(spark, tmp_path):
+@pytest.mark.parametrize("line_end", ["\n", "\r\n"])
+def test_scan_of_exchange_file(spark, tmp_path, line_end):
     text = ("ISO-10303-21;\nDATA;\n#1=IFCWALL('2O2Fr$t4X7Zf8NOew3FLOH',#5,'It''s (a; wall)'  ,$,(1.,2.),.T.);\n"
             "#22= IFCSLAB('x',$,'S');\nENDSEC;\n")
-    (tmp_path / "m.ifc").write_text(text.replace("(a; wall)", "(a wall)"))
+    (tmp_path / "m.ifc").write_bytes(text.replace("\n", line_end).encode())
     rows = model_files.parse_entities(model_files.read_statements(spark, str(tmp_path))).orderBy("entity_id").collect()
     assert [(r.entity_id, r.entity_type) for r in rows] == [(1, "IFCWALL"), (22, "IFCSLAB")]
-    assert rows[0].args == ["'2O2Fr$t4X7Zf8NOew3FLOH'", "#5", "'It''s (a wall)'", "$", "(1.,2.)", ".T."]
+    assert rows[0].args == ["'2O2Fr$t4X7Zf8NOew3FLOH'", "#5", "'It''s (a; wall)'", "$", "(1.,2.)", ".T."]
+
+
+def test_scan_of_odd_statements(spark, tmp_path):
+    text = ("DATA;\n#1=IFCA('a; wall',#2);#2=IFCB((((1.,(2.,'x)(;'))),$),IFCLABEL('l, m'));\n#3=IFCC(\n 'two',\n $\n);\n"
+            "/* #9=IFCX(); */ #4=IFCD('/* kept */',/* gone; */ 5);\n#5=IFCWALL('open);\n#6=(IFCA()IFCB());\n"
+            "#99999999999999999999=IFCE();\n#7=IFCF();\nENDSEC;")
+    (tmp_path / "m.ifc").write_text(text)
+    statements = model_files.read_statements(spark, str(tmp_path))
+    got = {r.entity_id: (r.entity_type, r.args) for r in model_files.parse_entities(statements).collect()}
+    assert got == {1: ("IFCA", ["'a; wall'", "#2"]), 2: ("IFCB", ["(((1.,(2.,'x)(;'))),$)", "IFCLABEL('l, m')"]),
+                   3: ("IFCC", ["'two'", "$"]), 4: ("IFCD", ["'/* kept */'", "5"]), 7: ("IFCF", [])}
+    rejected = {r.statement.split("=")[0] for r in model_files.rejected_statements(statements).collect()}
+    assert rejected == {"#5", "#6", "#99999999999999999999"}
 
 
 def test_pset_default_and_containment(spark):
