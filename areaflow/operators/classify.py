@@ -22,7 +22,6 @@ VERTICAL_CATEGORY_WORDS = ["SHAFT", "ATRIUM", "STAIRWELL", "ELEVATOR", "VOID"]
 STRONG_TYPES = ["ROOF", "BEAM", "COLUMN", "FLOOR", "BASESLAB", "STAIR", "RAMP"]
 WEAK_TYPES = ["NOTDEFINED", "USERDEFINED", "None"]
 REVIEW_THRESHOLD = 0.65
-PSET_TEXT_CAP = 1000
 REPLY_SCHEMA = "category string, confidence double, reasoning string, broken string"
 
 
@@ -88,8 +87,10 @@ def with_candidates(elements: DataFrame, categories: DataFrame) -> DataFrame:
         "candidates", F.coalesce("candidates", F.array(F.lit("GENERIC_ELEMENT"))))
 
 
-def prompt_rows(features: DataFrame) -> DataFrame:
-    """One request text per element for the pluggable scorer."""
+def prompt_rows(features: DataFrame, pset_chars: int | None = None) -> DataFrame:
+    """One request text per element for the pluggable scorer; `pset_chars` cuts the properties for one with a limit."""
+    properties = F.coalesce("psets_text", F.lit("{}"))
+    properties = F.substring(properties, 1, pset_chars) if pset_chars else properties
     dims = F.to_json(F.struct("height", "width", "depth", "area", "volume", "thickness", "aspect_ratio",
                               F.array("bbox_dx", "bbox_dy", "bbox_dz").alias("bbox_dims")))
     allowed = F.to_json("candidates")
@@ -99,7 +100,7 @@ def prompt_rows(features: DataFrame) -> DataFrame:
                           F.concat(F.lit("Predefined type: "), F.coalesce("predefined_type", F.lit("None"))),
                           F.concat(F.lit("External: "), "is_external"), F.concat(F.lit("Name: "), "name"),
                           F.concat(F.lit("Dimensions: "), dims),
-                          F.concat(F.lit("Properties: "), F.substring(F.coalesce("psets_text", F.lit("{}")), 1, PSET_TEXT_CAP)),
+                          F.concat(F.lit("Properties: "), properties),
                           F.concat(F.lit("Choose one functional category from: "), allowed), F.lit(answer))
     vertical = F.concat_ws("\n", F.concat(F.lit("Rules in force: "), "rule_context"),
                            F.concat(F.lit("Class: "), "ifc_type"), F.concat(F.lit("Name: "), "name"),

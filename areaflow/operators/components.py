@@ -1,67 +1,45 @@
-"""Connected components of many small graphs and some very large ones."""
+"""Connected components of links between ids, of any number of small and very large graphs at once."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.session import cut_lineage
 
-GROUP_LINKS = 200_000
-
-
-def _merge_links(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Smallest id reachable from each id of a partition (union-find with path halving)."""
-    parent: dict[int, int] = {}
-
-    def find(i: int) -> int:
-        while parent.setdefault(i, i) != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    for batch in batches:
-        for u, v in zip(batch["u"].tolist(), batch["v"].tolist()):
-            a, b = find(u), find(v)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    ids = list(parent)
-    yield pd.DataFrame({"id": ids, "label": [find(i) for i in ids]}, dtype="int64")
 
-
-def components(nodes: DataFrame, links: DataFrame, keys: list[str], group_links: int = GROUP_LINKS) -> DataFrame:
-    """Add `label`, the smallest id of the component, to nodes (unique `id`); links hold keys, u, v.
-
-    Groups with up to `group_links` links are solved in the partition they hash to,
-    with about that many links per partition.  When a larger group exists all links
-    go through label propagation with shortcuts: a few equi-joins per round, about
-    log2(diameter) rounds.
-    """
-    links = cut_lineage(links)
-    sizes = links.groupBy(*keys).count().agg(F.max("count").alias("top"), F.sum("count").alias("all")).first()
-    if (sizes["top"] or 0) <= group_links:
-        default = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        spread = links.repartition(max(default, (sizes["all"] or 0) // group_links + 1), *keys)
-        found = spread.select("u", "v").mapInPandas(_merge_links, "id bigint, label bigint")
-    else:
-        found = propagate(links)
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Add `label`, the smallest id of the component, to nodes (unique `id`); links hold u, v."""
+    found = smallest_reachable(links)
     joined = nodes.join(found.withColumnRenamed("id", "_id"), F.col("id") == F.col("_id"), "left")
     return cut_lineage(joined.withColumn("label", F.coalesce("label", "id")).drop("_id"))
 
 
-def propagate(links: DataFrame) -> DataFrame:
-    both = cut_lineage(links.select("u", "v").union(links.select("v", "u")).distinct())
-    labels = cut_lineage(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("label")))
+def smallest_reachable(links: DataFrame) -> DataFrame:
+    """id, label: the smallest id connected with each id of the links (u, v), for ids that are not the smallest.
+
+    Each round points every larger neighbour of a node at the smallest id around the
+    node, then does the same with its smaller neighbours, until all links are stars.
+    Rounds grow with the logarithm of the longest path.  Minima are aggregated before
+    the shuffle and neighbours are never gathered in a row, so the centre of a large
+    star is no single task's burden.
+    """
+    edges = cut_lineage(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(
+        "u <> v").distinct())
     while True:
-        near = both.join(labels, F.col("v") == F.col("id")).groupBy("u").agg(F.min("label").alias("near"))
-        low = labels.join(near, F.col("id") == F.col("u")).select(
-            "id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = low.select(F.col("id").alias("i2"), F.col("label").alias("l2"))
-        new = cut_lineage(low.join(up, F.col("label") == F.col("i2")).select(
-            "id", F.least("label", "l2").alias("label"), (F.least("label", "l2") != F.col("old")).alias("changed")))
-        labels = new.drop("changed")
-        if new.where("changed").isEmpty():
-            return labels
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy(F.col("u").alias("n")).agg(F.least("n", F.min("v")).alias("m"))
+        # Large star: neighbours above n go to m; what is below goes on to the small star.
+        large = both.where("v > u").join(low, F.col("u") == F.col("n")).select(
+            F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy(F.col("u").alias("n")).agg(F.min("v").alias("m"))
+        small = large.join(down, F.col("u") == F.col("n")).select(
+            F.explode(F.array(F.struct(F.col("u").alias("a"), F.col("m").alias("b")),
+                              F.struct(F.col("v").alias("a"), F.col("m").alias("b")))).alias("e")).select(
+            F.col("e.a").alias("u"), F.col("e.b").alias("v")).where("u <> v").distinct()
+        edges = cut_lineage(small)
+        # Stars: no centre is a leaf of another, and every leaf has one centre.
+        leaves = edges.groupBy(F.col("u").alias("leaf")).agg(F.count("*").alias("centres"))
+        open_ends = edges.select(F.col("v").alias("leaf")).distinct().join(leaves, "leaf", "left_semi")
+        if leaves.where("centres > 1").isEmpty() and open_ends.isEmpty():
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("label"))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from areaflow.session import cut_lineage
 
-MAX_DEPTH = 64
-
 
 def walk(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """model_id, node_id, node_type, depth, path for every node below the chosen root.
@@ -40,17 +38,17 @@ def descend(start: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kinds = nodes.select("model_id", F.col("node_id").alias("child_id"), F.col("node_type").alias("child_type"))
     step = cut_lineage(edges.join(kinds, ["model_id", "child_id"]))
     frontier = cut_lineage(start.select("model_id", "node_id", "node_type", F.lit(0).alias("depth"), pad("node_id").alias("path")))
-    levels = [frontier]
-    for depth in range(1, MAX_DEPTH + 1):
-        frontier = cut_lineage(frontier.select("model_id", F.col("node_id").alias("parent_id"), "path").join(
-            step, ["model_id", "parent_id"]).select(
+    levels, depth = [frontier], 0
+    while True:
+        depth += 1
+        below = frontier.select("model_id", F.col("node_id").alias("parent_id"), "path").join(step, ["model_id", "parent_id"])
+        # A child that stands on its own path closes a cycle; the walk ends there.
+        frontier = cut_lineage(below.where(~F.contains("path", pad("child_id"))).select(
             "model_id", F.col("child_id").alias("node_id"), F.col("child_type").alias("node_type"),
             F.lit(depth).alias("depth"), F.concat_ws("/", "path", pad("child_id")).alias("path")))
         if frontier.isEmpty():
             break
         levels.append(frontier)
-    else:
-        raise ValueError(f"containment deeper than {MAX_DEPTH} levels: the relation holds a cycle")
     out = levels[0]
     for level in levels[1:]:
         out = out.unionByName(level)

@@ -101,7 +101,7 @@ def span_links(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def label_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    return components(spans, span_links(spans, keys), keys)
+    return components(spans, span_links(spans, keys))
 
 
 def part_areas(labelled: DataFrame, keys: list[str]) -> DataFrame:

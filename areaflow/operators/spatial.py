@@ -131,7 +131,7 @@ def group_hulls(points: DataFrame, keys: list[str], chunk: int = HULL_CHUNK) ->
         pts = parts.groupBy(*keys, "_c").agg(hull.alias("_h")).select(*keys, F.explode("_h").alias("_p")).select(
             *keys, F.col("_p.x").alias("x"), F.col("_p.y").alias("y"))
         smaller = largest_key(pts, keys)
-        if smaller > peak * 0.9:
+        if smaller >= peak:  # every point is a corner: the hull itself is that long
             break
         peak = smaller
     return pts.groupBy(*keys).agg(hull.alias("ring"))

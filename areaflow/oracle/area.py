@@ -98,8 +98,9 @@ ORACLES = {
         SELECT t.model_id, unnest(['Region','Total Calculated Area (sq.m)','Total Full Area (100%)','Total Half Area (50%)','Total Excluded Area','Story Count','Note']) AS item,
         unnest([regulation_applied, total_area::VARCHAR, f::VARCHAR, h::VARCHAR, e::VARCHAR, story_count::VARCHAR, 'See ''Detailed Components'' sheet for full breakdown']) AS value
         FROM p_tot t JOIN (SELECT model_id, {rnd(esum('area_full'), 2)} AS f, {rnd(esum('area_half'), 2)} AS h, {rnd(esum('area_excluded'), 2)} AS e FROM p_rep GROUP BY 1) USING (model_id))""", "p_tot", "p_rep"),
-    "report_stories": with_ctes("""SELECT r.model_id, r.storey_id, 0 AS part, story_name, elevation, height, base_area, height_coefficient, adjustments_area, coalesce(d, '') AS adjustment_details,
+    "report_stories": with_ctes("""SELECT r.model_id, r.storey_id, story_name, elevation, height, base_area, height_coefficient, adjustments_area, coalesce(d, '') AS adjustment_details,
         area_full, area_half, area_excluded, calculated_area FROM p_rep r LEFT JOIN (SELECT model_id, storey_id, string_agg(detail, '; ' ORDER BY ord) AS d FROM p_parts GROUP BY 1, 2) USING (model_id, storey_id)""", "p_rep", "p_parts"),
+    "report_details": with_ctes("SELECT model_id, storey_id, ord, detail FROM p_parts WHERE detail IS NOT NULL", "p_parts"),
     "report_components": with_ctes(f"""SELECT c.model_id, c.storey_id, name AS story_name, c.ord, category, {rnd('raw_area', 2)} AS raw_area, coefficient, {rnd('effective_area', 2)} AS effective_area, note
         FROM p_comp c JOIN p_k USING (model_id, storey_id)""", "p_comp", "p_k"),
     "clause_split": with_ctes("SELECT doc_id, citation, body FROM cl", "cl"),

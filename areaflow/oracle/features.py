@@ -76,8 +76,8 @@ ORACLES = {
     "scan_by_type": with_ctes("SELECT model_id, express_id, ifc_type, name FROM elements WHERE ifc_type IN ('IfcSpace','IfcSlab')", "elements"),
     "mesh_explode": with_ctes(f"""SELECT model_id, express_id, face, x1_ AS x1, y1_ AS y1, z1_ AS z1, x2_ AS x2, y2_ AS y2, z2_ AS z2, x3_ AS x3, y3_ AS y3, z3_ AS z3 FROM (
         SELECT model_id, express_id, face, {_TRI} FROM mesh, (VALUES (0,0,2,1),(1,0,3,2),(2,4,5,6),(3,4,6,7),(4,0,1,5),(5,0,5,4),(6,1,2,6),(7,1,6,5),(8,2,3,7),(9,2,7,6),(10,3,0,4),(11,3,4,7)) t(face, v1, v2, v3))""", "mesh"),
-    "doc_text_concat": """SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, substr(text || chr(10) || '3.0.' || (doc_id % 30)
-        || ' Storey height below 2.' || (doc_id % 5) || ' m counts 1/2 area' || chr(10), 1, 200000) AS t FROM documents)""",
+    "doc_text_concat": """SELECT doc_id, length(t) AS n_chars, md5(t) AS digest FROM (SELECT doc_id, (text || chr(10) || '3.0.' || (doc_id % 30)
+        || ' Storey height below 2.' || (doc_id % 5) || ' m counts 1/2 area' || chr(10)) AS t FROM documents)""",
     "pset_flatten": with_ctes("SELECT model_id, express_id, pset, prop, coalesce(value, '-') AS value FROM psets", "psets"),
     "containment_edges": with_ctes("""SELECT model_id, parent_id, child_id FROM contained_in UNION ALL SELECT model_id, parent_id, -child_id FROM contained_in WHERE child_id % 2 = 1""", "contained_in"),
     "bbox_dims": with_ctes("SELECT model_id, express_id, bbox_dx, bbox_dy, bbox_dz FROM dims", "dims"),

@@ -90,6 +90,10 @@ def report_stories(spark: SparkSession, folder: str) -> DataFrame:
     return sheets.stories(run.report, run.parts)
 
 
+def report_details(spark: SparkSession, folder: str) -> DataFrame:
+    return sheets.details(plain_run(Buildings(spark, folder)).parts)
+
+
 def report_components(spark: SparkSession, folder: str) -> DataFrame:
     run = plain_run(Buildings(spark, folder)).saved()
     return sheets.component_sheet(run.report, run.components)
@@ -97,7 +101,7 @@ def report_components(spark: SparkSession, folder: str) -> DataFrame:
 
 def report_json(spark: SparkSession, folder: str) -> DataFrame:
     run = plain_run(Buildings(spark, folder)).saved()
-    return sheets.json_documents(run.report, run.components, run.totals)
+    return sheets.json_documents(run.report, run.components, run.totals, run.parts)
 
 
 def clause_split(spark: SparkSession, folder: str) -> DataFrame:
@@ -142,5 +146,5 @@ def floor_area(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     height_coef, balcony_coef, special_rule, story_components, story_adjustments, area_buckets, residual_component,
-    model_total, area_rollup, report_summary, report_stories, report_components, report_json, clause_split,
+    model_total, area_rollup, report_summary, report_stories, report_details, report_components, report_json, clause_split,
     clause_category, threshold_extract, coef_extract, rule_conditions, rule_set, floor_area)}

@@ -170,8 +170,10 @@ def candidates(spark: SparkSession, folder: str) -> DataFrame:
 def prompt_rows(spark: SparkSession, folder: str) -> DataFrame:
     b = Buildings(spark, folder)
     f = candidate_features(b).join(rules.rule_context(b.rules()), "region")
-    custom = b.psets().where("pset_ord = 0").select("model_id", "express_id", F.to_json("props").alias("psets_text"))
-    return classify.prompt_rows(f.join(custom, ["model_id", "express_id"], "left"))
+    ordered = F.array_sort(F.collect_list(F.struct("pset_ord", "pset", F.to_json("props").alias("props"))))
+    texts = F.transform(ordered, lambda p: F.concat_ws(" ", p["pset"], p["props"]))
+    every = b.psets().groupBy("model_id", "express_id").agg(F.array_join(texts, "; ").alias("psets_text"))
+    return classify.prompt_rows(f.join(every, ["model_id", "express_id"], "left"))
 
 
 def reply_parse(spark: SparkSession, folder: str) -> DataFrame:

@@ -84,7 +84,7 @@ def outline_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 def wall_grouping(spark: SparkSession, folder: str) -> DataFrame:
     b = Buildings(spark, folder)
-    chains = resolve_placements(b.placements())
+    chains = resolve_placements(b.placements())[0]
     local = b.placements().select("model_id", "placement_id", F.col("dz").alias("local_z"))
     walls = assign.envelope(b.element_z()).withColumn("placement_id", F.col("express_id") * 4 + 2)
     full = walls.join(chains.select("model_id", "placement_id", "root_id", F.col("z").alias("global_z")),
@@ -111,7 +111,7 @@ def first_n(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def global_z(spark: SparkSession, folder: str) -> DataFrame:
-    return resolve_placements(Buildings(spark, folder).placements()).select(
+    return resolve_placements(Buildings(spark, folder).placements())[0].select(
         "model_id", "placement_id", "root_id", "depth", rounded("z", 4).alias("z"))
 
 

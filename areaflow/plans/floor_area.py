@@ -59,7 +59,7 @@ class AreaRun:
 
 def positions(elements: DataFrame, placements: DataFrame, models: DataFrame) -> DataFrame:
     """Elements with z_m from their placement chain and the unit scale of the model."""
-    z = resolve_placements(placements).select("model_id", "placement_id", "z")
+    z = resolve_placements(placements)[0].select("model_id", "placement_id", "z")
     scaled = elements.join(z, ["model_id", "placement_id"]).join(models.select("model_id", "unit_scale"), "model_id")
     return scaled.withColumn("z_m", F.col("z") * F.col("unit_scale")).drop("z", "unit_scale")
 

@@ -1,8 +1,8 @@
 """K1-K4: the report tables and their sinks.
 
-Summary, story and component tables are plain DataFrames written by Spark, one
-file set each.  Detail strings and JSON documents are cut into parts of a fixed
-number of rows, so one storey with many components never becomes one cell.
+Summary, story, detail and component tables are plain DataFrames written by Spark, one
+file set each.  A storey is one row of the story table and one JSON document, however
+many components it has; the same details stand as rows in a table of their own.
 """
 
 from __future__ import annotations
@@ -11,9 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from areaflow.functions.numbers import exact_sum, float_text, rounded
-from areaflow.operators.ordered import with_position
 
-PART_ROWS = 10_000
 NOTE = "See 'Detailed Components' sheet for full breakdown"
 
 
@@ -38,17 +36,24 @@ def summary_date(pairs: DataFrame) -> DataFrame:
     return pairs.where("item = 'Note'").select("model_id", F.lit("Date").alias("item"), now.alias("value"))
 
 
-def stories(report: DataFrame, component_rows: DataFrame, part_rows: int = PART_ROWS,
-            peak: int | None = None) -> DataFrame:
-    """K2: story rows with adjustment details joined by '; ' (further parts only beyond `part_rows` details)."""
-    lines = with_position(component_rows.where("detail is not null"), ["model_id", "storey_id"], ["ord"], "n", peak)
-    ordered = F.array_sort(F.collect_list(F.struct("n", "detail")))
-    joined = lines.groupBy("model_id", "storey_id", F.floor((F.col("n") - 1) / part_rows).alias("part")).agg(
-        F.array_join(F.transform(ordered, lambda d: d["detail"]), "; ").alias("adjustment_details"))
+def listed(rows: DataFrame, value: str, name: str) -> DataFrame:
+    """model_id, storey_id and the values of each storey as one array, in component order."""
+    ordered = F.array_sort(F.collect_list(F.struct("ord", F.col(value).alias("v"))))
+    return rows.groupBy("model_id", "storey_id").agg(F.transform(ordered, lambda r: r["v"]).alias(name))
+
+
+def details(component_rows: DataFrame) -> DataFrame:
+    """Adjustment details, one row each."""
+    return component_rows.where("detail is not null").select("model_id", "storey_id", "ord", "detail")
+
+
+def stories(report: DataFrame, component_rows: DataFrame) -> DataFrame:
+    """K2: one row per storey, its adjustment details joined by '; '."""
+    joined = listed(details(component_rows), "detail", "_details")
     return report.join(joined, ["model_id", "storey_id"], "left").select(
-        "model_id", "storey_id", F.coalesce("part", F.lit(0)).alias("part"), "story_name", "elevation", "height",
+        "model_id", "storey_id", "story_name", "elevation", "height",
         "base_area", "height_coefficient", "adjustments_area",
-        F.coalesce("adjustment_details", F.lit("")).alias("adjustment_details"),
+        F.coalesce(F.array_join("_details", "; "), F.lit("")).alias("adjustment_details"),
         "area_full", "area_half", "area_excluded", "calculated_area")
 
 
@@ -60,18 +65,18 @@ def component_sheet(report: DataFrame, component_rows: DataFrame) -> DataFrame:
         "coefficient", rounded("effective_area", 2).alias("effective_area"), "note")
 
 
-def json_documents(report: DataFrame, component_rows: DataFrame, totals: DataFrame,
-                   part_rows: int = PART_ROWS, peak: int | None = None) -> DataFrame:
-    """K4: JSON text per storey and part, each with the totals of its model."""
-    placed = with_position(component_rows, ["model_id", "storey_id"], ["ord"], "n", peak)
-    item = F.struct("n", "category", "raw_area", "coefficient", "effective_area", "note")
-    parts = placed.groupBy("model_id", "storey_id", F.floor((F.col("n") - 1) / part_rows).alias("part")).agg(
-        F.array_sort(F.collect_list(item)).alias("components"))
+def json_documents(report: DataFrame, component_rows: DataFrame, totals: DataFrame, detail_rows: DataFrame) -> DataFrame:
+    """K4: JSON text per storey, with the totals of its model, its components and its adjustment details."""
+    item = F.struct("category", "raw_area", "coefficient", "effective_area", "note")
+    parts = listed(component_rows.withColumn("_item", item), "_item", "components")
+    notes = listed(details(detail_rows), "detail", "_details")
+    empty = F.array().cast("array<string>")
     story = F.struct("story_name", "elevation", "height", "base_area", "height_coefficient", "adjustments_area",
+                     F.coalesce("_details", empty).alias("adjustment_details"),
                      "calculated_area", "area_full", "area_half", "area_excluded", "components")
-    return report.join(parts, ["model_id", "storey_id"]).join(totals, "model_id").select(
-        "model_id", "storey_id", "part",
-        F.to_json(F.struct("total_area", "regulation_applied", "summary_text", story.alias("story"))).alias("json"))
+    return report.join(parts, ["model_id", "storey_id"]).join(notes, ["model_id", "storey_id"], "left").join(
+        totals, "model_id").select("model_id", "storey_id", F.to_json(F.struct(
+            "total_area", "regulation_applied", "summary_text", story.alias("story"))).alias("json"))
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

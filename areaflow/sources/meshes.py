@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from areaflow.operators.ordered import with_position
-
-TEXT_CAP = 200_000
 
 
 def axis(verts: Column, offset: int) -> Column:
@@ -48,19 +45,8 @@ def containment_edges(rel_contained: DataFrame) -> DataFrame:
     return rel_contained.select("model_id", "parent_id", F.explode("related_ids").alias("child_id"))
 
 
-def document_text(pages: DataFrame, cap: int = TEXT_CAP) -> DataFrame:
-    """Pages joined by newline in page order, cut to `cap` characters.
-
-    Every page adds at least its newline, so only the first `cap` pages of a
-    document can matter, and only pages that start before the cap are collected:
-    the group that builds a text is bounded by the cap, whatever the document size.
-    """
-    ranked = with_position(pages, ["doc_id"], ["page"], "n").where(F.col("n") <= cap).withColumn(
-        "text", F.substring("text", 1, cap))
-    before = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    lengths = ranked.select("doc_id", "n", (F.length("text") + 1).alias("len")).withColumn(
-        "start", F.coalesce(F.sum("len").over(before), F.lit(0))).where(F.col("start") < cap)
-    used = ranked.join(lengths.select("doc_id", "n"), ["doc_id", "n"])
-    ordered = F.array_sort(F.collect_list(F.struct("n", "text")))
-    joined = F.array_join(F.transform(ordered, lambda p: p["text"]), "\n")
-    return used.groupBy("doc_id").agg(F.substring(F.concat(joined, F.lit("\n")), 1, cap).alias("text"))
+def document_text(pages: DataFrame, cap: int | None = None) -> DataFrame:
+    """Pages joined by newline in page order; with `cap`, the first characters only, for a scorer with a limit."""
+    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    joined = F.concat(F.array_join(F.transform(ordered, lambda p: F.coalesce(p["text"], F.lit(""))), "\n"), F.lit("\n"))
+    return pages.groupBy("doc_id").agg((F.substring(joined, 1, cap) if cap else joined).alias("text"))

@@ -1,5 +1,7 @@
 """Goldens of the area calculation, worked out by hand."""
 
+import json
+
 import pytest
 from conftest import rect
 from pyspark.sql import functions as F
@@ -62,15 +64,25 @@ def test_report_parts_and_sinks(spark, tmp_path):
     run = golden_run(spark)
     whole = report.stories(run.report, run.parts).where("storey_id = 1").first()
     assert whole.adjustment_details.count("; ") == 2
-    split = report.stories(run.report, run.parts, part_rows=2).where("storey_id = 1").orderBy("part").collect()
-    assert "; ".join(r.adjustment_details for r in split) == whole.adjustment_details
+    rows = report.details(run.parts).where("storey_id = 1").orderBy("ord").collect()
+    assert "; ".join(r.detail for r in rows) == whole.adjustment_details
     sheets = {"summary": report.summary(run.report, run.totals), "stories": report.stories(run.report, run.parts),
               "components": report.component_sheet(run.report, run.components)}
     report.write_tables(sheets, str(tmp_path), "csv")
     assert spark.read.option("header", True).csv(f"{tmp_path}/summary").count() == 7
     assert report.summary_date(sheets["summary"]).count() == 1
-    docs = report.json_documents(run.report, run.components, run.totals, part_rows=3)
-    assert docs.where("storey_id = 1").count() == 2
+    docs = report.json_documents(run.report, run.components, run.totals, run.parts)
+    story = json.loads(docs.where("storey_id = 1").first().json)["story"]
+    assert story["adjustment_details"] == [r.detail for r in rows] and len(story["components"]) == 4
+
+
+def test_a_storey_with_very_many_details_is_one_row(spark):
+    parts = spark.range(25_000).selectExpr("1L AS model_id", "1L AS storey_id", "id AS ord", "'d' || id AS detail")
+    stories = spark.createDataFrame([(1, 1, "S", 0.0, 3.0, 1.0, 1.0, 0.0, 1.0, 0.0, 0.0, 1.0)], """model_id bigint, storey_id bigint,
+        story_name string, elevation double, height double, base_area double, height_coefficient double, adjustments_area double,
+        area_full double, area_half double, area_excluded double, calculated_area double""")
+    got = report.stories(stories, parts).collect()
+    assert len(got) == 1 and got[0].adjustment_details.split("; ") == [f"d{i}" for i in range(25_000)]
 
 
 def box(x0, y0, x1, y1, z0, z1):

@@ -141,6 +141,15 @@ def test_tree_roots_and_cycles(spark):
     assert got == {(1, 3): 0, (1, 4): 1, (2, 5): 0, (2, 6): 1}
 
 
+def test_deep_trees_and_cycles_end(spark):
+    n = 90
+    nodes = spark.createDataFrame([(1, i, "IFCX") for i in range(n)], "model_id bigint, node_id bigint, node_type string")
+    edges = spark.createDataFrame([(1, i, i + 1) for i in range(n - 1)] + [(1, 5, 3)],
+                                  "model_id bigint, parent_id bigint, child_id bigint")
+    got = {r.node_id: r.depth for r in hierarchy.walk(nodes, edges).collect()}
+    assert got == {i: i - 1 for i in range(1, n)}
+
+
 def test_dynamic_categories(spark):
     rows = spark.createDataFrame([("r", "special_use", 1, "Fire Refuge floor", "x"), ("r", "special_use", 2, "none", "use = basement"),
                                   ("r", "special_use", 3, "basement again", "")],

@@ -90,15 +90,17 @@ def test_buffer_of_triangle(spark):
     assert a == pytest.approx(6 + 12 * 0.5 + kgon, abs=0.02)
 
 
-def test_components_two_ways(spark):
+def test_components(spark):
     rng = random.Random(5)
-    links = [(1, rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1, i, i + 1) for i in range(400, 460)]
-    nodes = spark.createDataFrame([(1, i) for i in range(500)], "k bigint, id bigint")
-    edges = spark.createDataFrame(links, "k bigint, u bigint, v bigint")
-    small = {r.id: r.label for r in components.components(nodes, edges, ["k"]).collect()}
-    large = {r.id: r.label for r in components.components(nodes, edges, ["k"], group_links=10).collect()}
-    assert small == large
-    assert small[460] == 400 and small[499] == 499
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    links += [(700, 701 + i) for i in range(300)]
+    nodes = spark.createDataFrame([(1, i) for i in range(1001)], "k bigint, id bigint")
+    got = {r.id: r.label for r in components.components(nodes, spark.createDataFrame(links, "u bigint, v bigint")).collect()}
+    want = {i: i for i in range(1001)}
+    for _ in range(400):
+        for u, v in links:
+            want[u] = want[v] = min(want[u], want[v])
+    assert got == want
 
 
 def test_wall_strip_and_external_share(spark):

@@ -64,11 +64,26 @@ def test_positions_and_neighbours_of_hot_keys(spark, tiny_hot):
 def test_deep_placement_chain(spark):
     rows = [(1, i, i - 1 if i else None, 0.1) for i in range(40)] + [(2, 0, None, 5.0)]
     df = spark.createDataFrame(rows, "model_id bigint, placement_id bigint, parent_id bigint, dz double")
-    got = {(r.model_id, r.placement_id): (r.z, r.depth, r.root_id) for r in resolve_placements(df).collect()}
+    got = {(r.model_id, r.placement_id): (r.z, r.depth, r.root_id) for r in resolve_placements(df)[0].collect()}
     assert got[1, 39] == (pytest.approx(4.0), 39, 0)
     assert got[2, 0] == (5.0, 0, 0)
 
 
+def test_placement_cycles_are_rejected(spark):
+    rows = [(1, 1, None, 1.0), (1, 2, 1, 2.0), (1, 3, 4, 1.0), (1, 4, 5, 1.0), (1, 5, 3, 1.0), (1, 6, 4, 1.0), (1, 7, 7, 1.0)]
+    placed, rejected = resolve_placements(spark.createDataFrame(
+        rows, "model_id bigint, placement_id bigint, parent_id bigint, dz double"))
+    assert {r.placement_id: r.z for r in placed.collect()} == {1: 1.0, 2: 3.0}
+    assert {r.placement_id for r in rejected.collect()} == {3, 4, 5, 6, 7}
+
+
+def test_document_text_is_whole(spark):
+    pages = spark.createDataFrame([(1, p, "x" * 1000) for p in range(300)] + [(2, 0, None)],
+                                  "doc_id bigint, page int, text string")
+    got = {r.doc_id: r.text for r in meshes.document_text(pages).collect()}
+    assert got == {1: ("x" * 1000 + "\n") * 300, 2: "\n"}
+
+
 def test_document_text_cap(spark):
     pages = spark.createDataFrame([(1, p, str(p) * 4) for p in range(9)] + [(2, 0, "ab")],
                                   "doc_id bigint, page int, text string")
