@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaflow.llm.common import body_key, keep_one, ship_package, small_batches, table
-from areaflow.llm.linking import smallest_reachable
+from areaflow.operators.components import smallest_reachable
 from areaflow.session import cut_lineage
 
 SHINGLE = 4

@@ -14,6 +14,7 @@ import brute  # noqa: E402
 
 from areaflow.llm import (exact_dedup, mixing, quality_model, quality_rules, secret_scan, sharding,  # noqa: E402
                           simhash_links, token_files, token_tree)
+from areaflow.operators.components import smallest_reachable  # noqa: E402
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, shard string, fp string, taken string, "
           "doc string, kept string, _part string")
@@ -153,8 +154,6 @@ def test_links_find_every_component(spark, load):
             values.add(v)
     signed = [simhash_links.signed(v) for v in values]
     frame = spark.createDataFrame([(v,) for v in signed], "fp bigint")
-    from areaflow.llm.linking import smallest_reachable
-
     got = {r["id"]: r["label"] for r in smallest_reachable(simhash_links.near_links(frame, 4, load)).collect()}
     # Radius for signed values: compare their 64-bit patterns.
     pattern = {s: s % (1 << 64) for s in signed}
@@ -179,8 +178,6 @@ def test_every_pair_within_the_radius_meets():
 
 
 def test_components_of_long_paths_and_large_stars(spark):
-    from areaflow.llm.linking import smallest_reachable
-
     links = [(i, i + 1) for i in range(100, 160)] + [(1000, 1001 + i) for i in range(200)] + [(5, 5)]
     got = {r["id"]: r["label"] for r in smallest_reachable(spark.createDataFrame(links, "u bigint, v bigint")).collect()}
     assert got == {**{i: 100 for i in range(101, 161)}, **{1001 + i: 1000 for i in range(200)}}
