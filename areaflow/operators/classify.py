@@ -22,7 +22,7 @@ VERTICAL_CATEGORY_WORDS = ["SHAFT", "ATRIUM", "STAIRWELL", "ELEVATOR", "VOID"]
 STRONG_TYPES = ["ROOF", "BEAM", "COLUMN", "FLOOR", "BASESLAB", "STAIR", "RAMP"]
 WEAK_TYPES = ["NOTDEFINED", "USERDEFINED", "None"]
 REVIEW_THRESHOLD = 0.65
-REPLY_SCHEMA = "category string, confidence double, reasoning string, broken string"
+REPLY_SCHEMA = "category string, confidence string, reasoning string, broken string"
 
 
 def any_word(text: Column, words: list[str]) -> Column:
@@ -118,11 +118,12 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     text = F.replace(F.replace(F.trim("content"), F.lit("```json"), F.lit("")), F.lit("```"), F.lit(""))
     parsed = replies.withColumn("r", F.from_json(
         F.trim(F.regexp_replace(text, "\\s+$", "")), REPLY_SCHEMA, {"columnNameOfCorruptRecord": "broken"}))
-    failed = F.col("r").isNull() | F.col("r.broken").isNotNull()
+    confidence = F.col("r.confidence").try_cast("double")  # a number may come as text
+    failed = F.col("r").isNull() | F.col("r.broken").isNotNull() | (F.col("r.confidence").isNotNull() & confidence.isNull())
     return parsed.select(
         "model_id", "guid", failed.alias("failed"),
         F.when(failed, "ERROR").otherwise(F.col("r.category")).alias("category"),
-        F.when(failed, 0.0).otherwise(F.coalesce(F.col("r.confidence"), F.lit(0.5))).alias("raw_confidence"),
+        F.when(failed, 0.0).otherwise(F.coalesce(confidence, F.lit(0.5))).alias("raw_confidence"),
         F.when(failed, "reply is not valid JSON").otherwise(F.col("r.reasoning")).alias("reasoning"))
 
 

@@ -74,6 +74,13 @@ CTES.update({
         'Parking and basement areas are excluded.', '建筑物内的变形缝，应合并计算。', 'Storey height not less than 2.2 m counts full area.',
         '层高不低于2.20m的，应计算全面积；结构层高在1.20m及以上至2.10m以下的，应计算1/2面积。', '层高大于4.50米的部分不应计算面积。',
         'Basement parts of more than 3.5 metres or not more than 1.2 meters are excluded.'])[doc_id % 8 + 1] FROM documents"""),
+    "rl": (["cl"], """SELECT doc_id, citation, c, sub_ord, hit, category, condition_logic, coefficient::DOUBLE AS coefficient FROM cl JOIN (VALUES
+        (0, 0, 0, 'enclosure', '', 0.5), (0, 1, 0, 'enclosure', '', 1.0), (1, 0, 0, 'height', 'h >= 2.20', 1.0), (1, 1, 0, 'height', 'h < 2.20', 0.5),
+        (2, 0, 0, 'special_use', '', 0.0), (3, 0, 0, 'special_use', '', 1.0), (4, 0, 0, 'height', 'h >= 2.2', 1.0), (5, 0, 0, 'height', 'h >= 2.20', 1.0),
+        (5, 1, 0, 'height', 'h >= 1.20 and h < 2.10', 0.5), (6, 0, 0, 'height', 'h > 4.50', 0.0), (7, 0, 0, 'special_use', 'h > 3.5', 0.0),
+        (7, 0, 1, 'special_use', 'h <= 1.2', 0.0)) v(variant, sub_ord, hit, category, condition_logic, coefficient) ON v.variant = doc_id % 8 WHERE c = 2
+        UNION ALL SELECT doc_id, citation, c, 0, 0, 'height', 'h < 2.' || (doc_id % 5), 0.5 FROM cl WHERE c = 1
+        UNION ALL SELECT doc_id, citation, c, 1, 0, 'height', 'h >= 2.' || (doc_id % 5), 1.0 FROM cl WHERE c = 1"""),
     "sub": (["cl"], r"""SELECT doc_id, citation, c, unnest(p) AS sub, generate_subscripts(p, 1) - 1 AS sub_ord FROM (
         SELECT *, list_filter(list_transform(regexp_split_to_array(rtrim(body, '.'), '[;；。]'), lambda x: trim(x)), lambda x: length(x) > 0) AS p FROM cl)"""),
 })
@@ -111,11 +118,12 @@ ORACLES = {
         UNION ALL SELECT doc_id, citation, s.sub_ord, num, comparator FROM sub s JOIN (VALUES (1, 0, '2.20', '>='), (1, 1, '2.20', '<'), (4, 0, '2.2', '>='), (5, 0, '2.20', '>='),
         (5, 1, '1.20', '>='), (5, 1, '2.10', '<'), (6, 0, '4.50', '>'), (7, 0, '3.5', '>'), (7, 0, '1.2', '<=')) v(variant, sub_ord, num, comparator)
         ON v.variant = doc_id % 8 AND v.sub_ord = s.sub_ord WHERE c = 2)""", "sub"),
-    "rule_conditions": with_ctes(r"""SELECT doc_id, citation, category, condition_logic, coefficient FROM cl JOIN (VALUES (0, 'enclosure', '', 0.5), (0, 'enclosure', '', 1.0),
-        (1, 'height', 'h >= 2.20', 1.0), (1, 'height', 'h < 2.20', 0.5), (2, 'special_use', '', 0.0), (3, 'special_use', '', 1.0), (4, 'height', 'h >= 2.2', 1.0),
-        (5, 'height', 'h >= 2.20', 1.0), (5, 'height', 'h >= 1.20 and h < 2.10', 0.5), (6, 'height', 'h > 4.50', 0.0)) v(variant, category, condition_logic, coefficient) ON v.variant = doc_id % 8 WHERE c = 2
-        UNION ALL SELECT doc_id, citation, 'special_use', condition_logic, 0.0 FROM cl, (VALUES ('h > 3.5'), ('h <= 1.2')) v(condition_logic) WHERE c = 2 AND doc_id % 8 = 7
-        UNION ALL SELECT doc_id, citation, 'height', 'h < 2.' || (doc_id % 5), 0.5 FROM cl WHERE c = 1
-        UNION ALL SELECT doc_id, citation, 'height', 'h >= 2.' || (doc_id % 5), 1.0 FROM cl WHERE c = 1""", "cl"),
+    "rule_conditions": with_ctes("SELECT doc_id, citation, category, condition_logic, coefficient FROM rl", "rl"),
+    "rule_set": with_ctes("""SELECT doc_id, coalesce(h, '') AS height_requirements, coalesce(e, '') AS enclosure_requirements, coalesce(s, '') AS special_space_requirements,
+        nh || ' height, ' || ne || ' enclosure, ' || ns || ' special rules' AS reasoning_trace FROM (SELECT doc_id,
+        string_agg(r, '; ' ORDER BY c, sub_ord, hit) FILTER (category = 'height') AS h, count(*) FILTER (category = 'height') AS nh,
+        string_agg(r, '; ' ORDER BY c, sub_ord, hit) FILTER (category = 'enclosure') AS e, count(*) FILTER (category = 'enclosure') AS ne,
+        string_agg(r, '; ' ORDER BY c, sub_ord, hit) FILTER (category = 'special_use') AS s, count(*) FILTER (category = 'special_use') AS ns
+        FROM (SELECT *, citation || '|' || condition_logic || '|' || coefficient::VARCHAR AS r FROM rl) GROUP BY doc_id)""", "rl"),
     "coef_extract": with_ctes("""SELECT doc_id, citation, sub_ord, CASE WHEN contains(sub, 'excluded') OR contains(sub, '不应计算') THEN 0.0 WHEN contains(sub, '1/2') THEN 0.5 WHEN contains(sub, 'full') OR contains(sub, '全面积') OR contains(sub, '合并') THEN 1.0 END AS coefficient FROM sub""", "sub"),
 }

@@ -101,7 +101,7 @@ ORACLES = {
     "wall_thickness": with_ctes(f"""SELECT model_id, {rnd("coalesce(list_sort(list(least(x1-x0, y1-y0)) FILTER (m.express_id IS NOT NULL))[count(m.express_id)//2 + 1], 0.2)", 4)} AS thickness
         FROM models LEFT JOIN (SELECT * FROM mesh WHERE ifc_type = 'IfcWall') m USING (model_id) GROUP BY 1""", "models", "mesh"),
     "building_centroid": with_ctes(f"""SELECT model_id, {rnd('coalesce(avg((2*gx+gw)/4.0::DOUBLE), 0.0)', 4)} AS cx, {rnd('coalesce(avg((2*gy+gd)/4.0::DOUBLE), 0.0)', 4)} AS cy
-        FROM models LEFT JOIN (SELECT * FROM base WHERE ifc_type = 'IfcWall' AND express_id % 4 = 0) b USING (model_id) GROUP BY 1""", "models", "base"),
+        FROM models LEFT JOIN (SELECT * FROM base WHERE ifc_type = 'IfcWall') b USING (model_id) GROUP BY 1""", "models", "base"),
     "curve_thin": with_ctes(f"SELECT wall_id, pt_ord, {_XY} FROM kept UNION ALL SELECT wall_id, pt_ord, {_XY} FROM pts WHERE rn = n AND n > 1 AND wall_id IN (SELECT wall_id FROM kept WHERE kn = 1)",
                             "kept", extra=_fold(f"{_DIST} > 2.0")),
     "curve_guard": with_ctes(f"SELECT wall_id, pt_ord, {_XY} FROM kept WHERE kn >= 3", "kept", extra=_fold(f"{_DIST} < 1.0")),

@@ -129,11 +129,17 @@ def rule_conditions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def rule_set(spark: SparkSession, folder: str) -> DataFrame:
+    """The rule lists of each text, each rule shown as citation|condition|coefficient."""
     found = rules.extract_rules(Buildings(spark, folder).reg_texts())
     order = F.struct("clause_ord", "sub_ord", "hit_ord")
     sets = rules.rule_set(found.withColumn("rule_ord", order), "doc_id")
     lists = ("height_requirements", "enclosure_requirements", "special_space_requirements")
-    return sets.select("doc_id", *[F.to_json(c).alias(c) for c in lists], "reasoning_trace")
+
+    def shown(name: str):
+        return F.array_join(F.transform(name, lambda r: F.concat_ws(
+            "|", r["citation"], r["condition_logic"], r["coefficient"].cast("string"))), "; ").alias(name)
+
+    return sets.select("doc_id", *[shown(c) for c in lists], "reasoning_trace")
 
 
 def floor_area(spark: SparkSession, folder: str) -> DataFrame:

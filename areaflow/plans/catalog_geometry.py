@@ -122,7 +122,7 @@ def wall_thickness(spark: SparkSession, folder: str) -> DataFrame:
 
 def building_centroid(spark: SparkSession, folder: str) -> DataFrame:
     b = Buildings(spark, folder)
-    ends = b.element_base().where("ifc_type = 'IfcWall' and express_id % 4 = 0").select(
+    ends = b.element_base().where("ifc_type = 'IfcWall'").select(
         "model_id", (F.col("gx") * 0.5).alias("sx"), (F.col("gy") * 0.5).alias("sy"),
         ((F.col("gx") + F.col("gw")) * 0.5).alias("ex"), ((F.col("gy") + F.col("gd")) * 0.5).alias("ey"))
     return walls.building_centroid(b.models(), ends).select(

@@ -27,12 +27,14 @@ def test_calibration_goldens(spark):
 
 def test_replies(spark):
     rows = [(1, "a", '```json\n{"category": "ATRIUM", "confidence": 0.9, "reasoning": "x"}\n```'), (1, "b", "no"),
-            (1, "c", '{"category": "VOID", "reasoning": "y"}')]
+            (1, "c", '{"category": "VOID", "reasoning": "y"}'), (1, "d", '{"category": "VOID", "confidence": "0.7"}'),
+            (1, "e", '{"category": "VOID", "confidence": "high"}')]
     got = {r.guid: r for r in classify.parse_replies(
         spark.createDataFrame(rows, "model_id bigint, guid string, content string")).collect()}
     assert (got["a"].category, got["a"].raw_confidence, got["a"].failed) == ("ATRIUM", 0.9, False)
     assert (got["b"].category, got["b"].raw_confidence, got["b"].failed) == ("ERROR", 0.0, True)
     assert got["c"].raw_confidence == 0.5
+    assert (got["d"].raw_confidence, got["d"].failed, got["e"].category) == (0.7, False, "ERROR")
 
 
 def test_external_flag_takes_first_common_set(spark):
