@@ -1,7 +1,9 @@
 """Registered queries of this subpackage and their checking SQL."""
 
 import corpus_pipeline
-from areaflow.llm import exact_dedup, html_wrappers, mixing, quality_model, quality_rules, secret_scan, sharding, simhash_links, token_files, token_tree
+from areaflow.llm import (exact_dedup, html_wrappers, mixing, quality_model, quality_rules, secret_scan, sharding,
+                          simhash_links, token_files, token_tree)
+from areaflow.llm.oracles import ORACLES  # noqa: F401
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -16,4 +18,3 @@ QUERIES = {
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
-ORACLES: dict[str, str] = {}
