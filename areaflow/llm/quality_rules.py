@@ -14,7 +14,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Jensen-Shannon distances (0 to 1) above which a document is rejected, and the words below which they are not judged.
 MAX_CLASS_DISTANCE = 0.25
-MAX_COMMON_DISTANCE = 0.25
+MAX_COMMON_DISTANCE = 0.275
 MIN_JUDGED_WORDS = 100
 
 # Frequent short words of each language.
