@@ -213,18 +213,25 @@ def align(a: list[Node], b: list[Node], same_page: bool = False) -> list[Node]:
     return out
 
 
+def nodes_of(blocks: list[Block]) -> list[Node]:
+    return [Node(b.path, text=zlib.crc32(b.text.encode("utf-8", "replace")), chars=len(b.text), linked=b.linked) for b in blocks]
+
+
 def page_expression(page: str | None) -> list[Node]:
-    return fold_repeats([Node(b.path, text=zlib.crc32(b.text.encode("utf-8", "replace")), chars=len(b.text), linked=b.linked)
-                         for b in blocks_of(page)])
+    return fold_repeats(nodes_of(blocks_of(page)))
+
+
+def marks_of(sign: str) -> list[str]:
+    """Classes, ids and roles of an element; those that only say what a layout has ("with-sidebar") are left out."""
+    return [m for m in sign.split(".")[1:] if not re.match(r"(?:with|has|no)[-_]", m)]
 
 
-def words_of(sign: str) -> list[str]:
-    return [w for part in sign.split(".")[1:] for w in re.split(r"[^a-z]+", part) if w]
+def marked_main(sign: str) -> bool:
+    return any(re.sub(r"[-_]", "", m) in MAIN_WORDS or m == "main" for m in marks_of(sign))
 
 
 def is_main(sign: str) -> bool:
-    return sign.split(".")[0] in MAIN_TAGS or sign.endswith(".main") or any(
-        w in MAIN_WORDS for part in sign.split(".")[1:] for w in [part.replace("-", "").replace("_", ""), part])
+    return sign.split(".")[0] in MAIN_TAGS or marked_main(sign)
 
 
 def is_chrome(path: str) -> bool:
@@ -232,9 +239,12 @@ def is_chrome(path: str) -> bool:
     inside = False
     for sign in path.split("/"):
         name = sign.split(".")[0]
+        if name in ("html", "body"):
+            continue
         if name in CHROME_TAGS or (name == "header" and not inside):
             return True
-        if any(w in CHROME_WORDS for w in words_of(sign)) and not is_main(sign):
+        words = (w for m in marks_of(sign) for w in re.split(r"[^a-z]+", m))
+        if not marked_main(sign) and any(w in CHROME_WORDS for w in words):
             return True
         inside = inside or is_main(sign)
     return False
@@ -270,11 +280,18 @@ def main_slots(wrapper: list[Node]) -> tuple[list[tuple[str, bool]], dict[str, b
 
 
 def extract(page: str | None, slots: list[tuple[str, bool]], by_path: dict[str, bool]) -> str:
-    """Texts of the main slots that the blocks of a page fill, in page order."""
+    """Texts of the main slots that the blocks of a page fill, in page order.
+
+    A page with no block on any main path of its host, such as one of another template,
+    is judged by its own expression.
+    """
+    blocks = blocks_of(page)
+    if blocks and not any(by_path.get(b.path) for b in blocks):
+        slots, by_path = main_slots(fold_repeats(nodes_of(blocks)))
     at, out = 0, []
-    for block in blocks_of(page):
+    for block in blocks:
         found = next((k for k in range(at, len(slots)) if slots[k][0] == block.path), None)
-        if found is None:  # a repeated group begins again, or a page the wrapper has not seen
+        if found is None:  # a repeated group begins again, or an order the wrapper has not seen
             main = by_path.get(block.path, False)
         else:
             at, main = found, slots[found][1]

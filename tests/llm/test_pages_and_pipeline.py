@@ -56,6 +56,19 @@ def test_wrapper_without_article_element_takes_the_part_with_most_text():
     assert text.startswith("words of the text") and text.endswith("and more 3 of it") and "link" not in text
 
 
+def test_marks_of_layouts_and_comments():
+    page = ("<body class='page sidebar-right'><div class='layout with-sidebar'><article class='post'><header><h1>T</h1></header><p>Text"
+            "<div class='notice'>Note</div></article><section><article class='comment'><p>Nice</article></section></div>")
+    assert hw.extract(page, *hw.main_slots(hw.page_expression(page))) == "T\n\nText"
+
+
+def test_a_page_of_another_template_is_judged_by_itself():
+    wrapper = hw.page_expression("<nav>x</nav><article><p>a text</p></article>")
+    other = "<div class='menu'><a href=1>m</a></div><div id=x1><p>Other text of a page</p></div>"
+    assert hw.extract(other, *hw.main_slots(wrapper)) == "Other text of a page"
+    assert hw.extract("<nav>only</nav>", *hw.main_slots(wrapper)) == ""
+
+
 def test_mismatches_become_optional_or_repeated():
     a, b = hw.page_expression("<ul><li>a<li>b<li>c</ul><p>x</p>"), hw.page_expression("<ul><li>a</ul><h2>n</h2><p>x</p>")
     nodes = hw.align(a, b)
