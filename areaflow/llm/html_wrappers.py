@@ -45,6 +45,12 @@ ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*
 GAP = re.compile(r"\x20*[\x09-\x0D][\x20\x09-\x0D]*|\x20{2,}")
 DIGITS = re.compile(r"\d+")
 
+# Elements that hold running text, or parts of one text.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption details summary table caption "
+                      "tbody thead tfoot tr td th section".split())
+WHOLE_PAGE = frozenset(["", "html", "body"])
+MOST_TEXT = 0.9  # share of the open text that the main part holds, before it grows to what else is running text
+
 LONGEST_REPEAT = 6
 MIN_CONSTANT_PAGES = 8
 
@@ -250,25 +256,60 @@ def is_chrome(path: str) -> bool:
     return False
 
 
+def _above(path: str) -> list[str]:
+    """Paths of the elements round a slot, the page ("") first; without those inside running text."""
+    out, signs = [""], path.split("/")[:-1]
+    for k, sign in enumerate(signs):
+        if sign.split(".")[0] in TEXT_TAGS - {"section", "table", "tbody", "tr", "td"}:
+            break
+        out.append("/".join(signs[:k + 1]))
+    return out
+
+
+def _fullest_part(open_: list[Node]) -> list[Node]:
+    """Slots of the main part of pages without an article element.
+
+    The core is the deepest element that holds nearly all open text outside links, its
+    lists, quotations and sections included.  The main part grows from there until no
+    running text is outside, so that sibling containers of one text stay together.
+    Slots that are mostly links count in the core only, and not where that is the page.
+    """
+    plain = [s for s in open_ if 2 * s.linked <= s.chars]
+    mass: dict[str, int] = {}
+    for s in plain:
+        for p in _above(s.path):
+            mass[p] = mass.get(p, 0) + s.chars - s.linked
+    full = [p for p in mass if mass[p] >= MOST_TEXT * mass[""]]
+    if not full:
+        return []
+    core = max(full, key=lambda p: (len(_signs(p)), p))
+
+    def within(s: Node, part: str) -> bool:
+        return not part or s.path.startswith(part + "/")
+
+    part = core
+    while not all(within(s, part) for s in plain if any(x.split(".")[0] in TEXT_TAGS for x in _signs(s.path))):
+        part = part.rpartition("/")[0]
+    links = core.rpartition("/")[2].split(".")[0] not in WHOLE_PAGE
+    return [s for s in open_ if within(s, part) and 2 * s.linked <= s.chars or links and within(s, core)]
+
+
+def _signs(path: str) -> list[str]:
+    return path.split("/") if path else []
+
+
 def main_slots(wrapper: list[Node]) -> tuple[list[tuple[str, bool]], dict[str, bool]]:
     """Of each slot in order whether it holds main text, and the same by path for blocks that no slot fits.
 
     Slots under an article element are main, less what is marked as something else.
-    Without one, the main part is the element whose slots hold most text outside links.
+    Without one, the main part is found by where the text outside links is.
     Slots with one text on all of many pages are template, if others differ.
     """
     slots = [s for n in wrapper for s in n.slots()]
     open_ = [s for s in slots if not is_chrome(s.path)]
     marked = [s for s in open_ if any(map(is_main, s.path.split("/")))]
     if not marked:
-        mass: dict[str, int] = {}
-        for s in open_:
-            parent = s.path.rpartition("/")[0]
-            if 2 * s.linked <= s.chars:
-                mass[parent] = mass.get(parent, 0) + s.chars - s.linked
-        top = max(sorted(mass), key=lambda p: mass[p], default=None)
-        marked = [s for s in open_ if top is not None and (s.path.rpartition("/")[0] + "/").startswith(top + "/")
-                  and 2 * s.linked <= s.chars]
+        marked = _fullest_part(open_)
     varied = any(s.text is None for s in marked)
     chosen = {id(s) for s in marked if not (
         varied and s.text is not None and s.pages >= MIN_CONSTANT_PAGES

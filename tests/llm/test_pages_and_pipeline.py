@@ -56,6 +56,22 @@ def test_wrapper_without_article_element_takes_the_part_with_most_text():
     assert text.startswith("words of the text") and text.endswith("and more 3 of it") and "link" not in text
 
 
+def main_of(page):
+    return hw.extract(page, *hw.main_slots(hw.page_expression(page)))
+
+
+def test_main_part_without_article_holds_lists_quotations_and_sections():
+    items = "".join(f"<li>an item with many words of the text {k}</li>" for k in range(9))
+    text = main_of(f"<div class=menu><a href=1>one</a></div><div id=c><h1>Head</h1><p>Short text.</p><ul>{items}</ul>"
+                   "<blockquote><p>Quoted.</p></blockquote><table><tr><td>Cell</table></div><div class=c2><a href=x>link</a></div>")
+    assert text.startswith("Head\n\nShort text.\n\nan item") and text.endswith("text 8\n\nQuoted.\n\nCell")
+    body = "words of the body " * 40
+    for wrap in ("<div class=wrap>", "<body>"):
+        text = main_of(f"{wrap}<section class=intro><p>Intro.</p></section><section class=body><h2>Two</h2><p>{body}</p>"
+                       "</section><blockquote>Last words</blockquote>")
+        assert text == f"Intro.\n\nTwo\n\n{body.strip()}\n\nLast words"
+
+
 def test_marks_of_layouts_and_comments():
     page = ("<body class='page sidebar-right'><div class='layout with-sidebar'><article class='post'><header><h1>T</h1></header><p>Text"
             "<div class='notice'>Note</div></article><section><article class='comment'><p>Nice</article></section></div>")
