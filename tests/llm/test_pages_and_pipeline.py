@@ -72,6 +72,13 @@ def test_main_part_without_article_holds_lists_quotations_and_sections():
         assert text == f"Intro.\n\nTwo\n\n{body.strip()}\n\nLast words"
 
 
+def test_raw_elements_end_where_they_end():
+    for odd in ("<svg-icon name=x></svg-icon>", "<svg width='1' d=\"a>b\"/>", "<math/>", "<video-js class=v></video-js>",
+                "<template-x>", "<svg><svg/><path d='x'/>no text</svg>"):
+        assert main_of(f"<article><p>First</p>{odd}<p>Second</p></article>") == "First\n\nSecond", odd
+    assert main_of("<article><p>First</p><script src=x>'</p>'</script><svg >no</svg ><p>Second</p>") == "First\n\nSecond"
+
+
 def test_marks_of_layouts_and_comments():
     page = ("<body class='page sidebar-right'><div class='layout with-sidebar'><article class='post'><header><h1>T</h1></header><p>Text"
             "<div class='notice'>Note</div></article><section><article class='comment'><p>Nice</article></section></div>")
