@@ -16,6 +16,8 @@ MAX_REPEAT_PERCENT = 50
 MAX_CLASS_DISTANCE = 0.25
 MAX_COMMON_DISTANCE = 0.275
 MIN_JUDGED_WORDS = 100
+MIN_REFERENCE_DOCS = 20  # of a language without a list; below, its documents are judged by the base alone
+BROADCAST_LANGS = 100_000
 
 # Frequent short words of each language.
 COMMON_WORDS = {
@@ -86,7 +88,7 @@ def profile(docs: DataFrame, columns: list[str]) -> DataFrame:
         lines.alias("_lines"), spread.alias("_spread"), F.length(text).cast("bigint").alias("_length"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("bigint").alias("n_upper"),
         F.regexp_count(text, F.lit(r"[0-9]")).cast("bigint").alias("n_digit"),
-        F.regexp_count(text, F.lit(r"[^\p{L}0-9\x20\x09-\x0D]")).cast("bigint").alias("n_mark"))
+        F.regexp_count(text, F.lit(r"[^\p{L}\p{M}0-9\x20\x09-\x0D]")).cast("bigint").alias("n_mark"))
     rows = rows.withColumns({
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
         "common": common_counts(F.col("_spread"), F.col("_lang")),
@@ -106,19 +108,29 @@ def common_shares() -> Column:
     return F.concat(F.transform("common", lambda c: c / total), F.array(others / total))
 
 
-def references(profiles: DataFrame, min_words: int = MIN_JUDGED_WORDS) -> dict[str, dict]:
-    """Mean shares over all documents of each listed language, and of all others together ("").
+def base_failed() -> Column:
+    return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
-    One row per listed language and one more, whatever the table holds.  Means are
-    rounded, so that they do not depend on the order of additions.
+
+def references(profiles: DataFrame, min_words: int = MIN_JUDGED_WORDS) -> DataFrame:
+    """_ref, ref_classes, ref_common: mean shares over the documents of each language, one row a language.
+
+    Listed languages take all their documents of `min_words` words, as the checking SQL
+    does; others only those that the base keeps, and MIN_REFERENCE_DOCS of them at
+    least.  Rows without a language have no reference.  Means are rounded, so that they
+    do not depend on the order of additions.
     """
-    known = F.when(F.col("_lang").isin(list(COMMON_WORDS)), F.col("_lang")).otherwise("")
-    shares = profiles.where(F.col("n_words") >= min_words).select(
-        known.alias("known"), class_shares().alias("c"), common_shares().alias("w"))
-    rows = shares.groupBy("known").agg(
-        F.array(*[F.round(F.avg(F.col("c")[i]), 6) for i in range(len(CLASSES))]).alias("classes"),
-        F.array(*[F.round(F.avg(F.col("w")[i]), 6) for i in range(N_COMMON + 1)]).alias("common")).collect()
-    return {r["known"]: {"classes": r["classes"], "common": r["common"]} for r in rows}
+    listed = F.col("_lang").isin(list(COMMON_WORDS))
+    # Rows are left out inside the sums: a filter would be moved below the counts and repeat them.
+    counts = (F.col("n_words") >= min_words) & (listed | ~base_failed())
+    shares = profiles.select(F.col("_lang").alias("_ref"), counts.alias("counts"), class_shares().alias("c"),
+                             common_shares().alias("w"))
+    rows = shares.groupBy("_ref").agg(
+        F.array(*[F.round(F.avg(F.when(F.col("counts"), F.col("c")[i])), 6) for i in range(len(CLASSES))]).alias("ref_classes"),
+        F.array(*[F.round(F.avg(F.when(F.col("counts"), F.col("w")[i])), 6) for i in range(N_COMMON + 1)]).alias("ref_common"),
+        F.count_if("counts").alias("n"))
+    least = F.when(F.col("_ref").isin(list(COMMON_WORDS)), 1).otherwise(MIN_REFERENCE_DOCS)
+    return cut_lineage(rows.where(F.col("n") >= least).drop("n"))
 
 
 def distance(p: Column, q: Column) -> Column:
@@ -138,7 +150,8 @@ def judge(docs: DataFrame, columns: list[str] | None = None, max_class: float =
     windows.  Else a document is rejected when its character classes are further
     than `max_class` from the mean of its language, or its common words further than
     `max_common`; texts under `min_words` words are judged by the base alone, and
-    those of a language without a list by character classes against all such texts.
+    those of a language without a list by character classes against its own mean only.
+    Without a language, or with too few documents of it, the base alone decides.
     Null and empty texts have no words and fail.  Columns of `docs` stay inside
     `doc`, so none can clash; text and lang must be there.  Without the text among
     `columns` the counts are written once; with it they are taken twice, first for the
@@ -148,19 +161,14 @@ def judge(docs: DataFrame, columns: list[str] | None = None, max_class: float =
     if columns and "text" not in columns:
         rows = cut_lineage(rows)
     known = references(rows, min_words)
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    by_lang = {"classes": F.when(F.lit(False), F.lit(None).cast("array<double>"))}
-    by_lang["common"] = by_lang["classes"]
-    for lang, ref in known.items():
-        mine = (F.col("_lang") == lang) if lang else ~F.coalesce(F.col("_lang").isin(list(COMMON_WORDS)), F.lit(False))
-        for part in by_lang:
-            if lang or part == "classes":
-                by_lang[part] = by_lang[part].when(mine, F.array(*[F.lit(float(v)) for v in ref[part]]))
-    by_class = distance(class_shares(), by_lang["classes"])
-    by_common = distance(common_shares(), by_lang["common"])
+    # So few rows are sent to all tasks, as a language can have most documents.
+    known = F.broadcast(known) if known.count() <= BROADCAST_LANGS else known
+    rows = rows.join(known, F.col("_lang") == F.col("_ref"), "left")
+    by_class = F.when(F.col("_ref").isNotNull(), distance(class_shares(), F.col("ref_classes")))
+    by_common = F.when(F.col("_ref").isNotNull() & F.col("common").isNotNull(), distance(common_shares(), F.col("ref_common")))
     judged = rows.withColumns({
         "class_distance": F.when(F.col("n_words") >= min_words, F.round(by_class, 6)),
-        "common_distance": F.when(F.col("n_words") >= min_words, F.round(by_common, 6)), "base_failed": base})
+        "common_distance": F.when(F.col("n_words") >= min_words, F.round(by_common, 6)), "base_failed": base_failed()})
     far = (F.coalesce("class_distance", F.lit(0.0)) > max_class) | (F.coalesce("common_distance", F.lit(0.0)) > max_common)
     return judged.withColumn("kept", ~F.col("base_failed") & ~far).select(
         "doc", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",

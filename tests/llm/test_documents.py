@@ -280,6 +280,25 @@ def test_quality_rules_reject_what_is_far_from_its_language(spark):
     assert quality_rules.keep_good(frame.where("doc_id < 0")).count() == 0
 
 
+def test_quality_rules_judge_a_language_by_itself(spark):
+    rnd = np.random.default_rng(13)
+
+    def prose(alphabet, n=140):
+        return " ".join("".join(rnd.choice(list(alphabet), rnd.integers(2, 9))) for _ in range(n))
+
+    russian, hindi = "абвгдежзийклмнопрст", "कखगघचछजझटठडढतथदधनपाािीीुेेैो्ं"
+    rows = [(i, prose(russian), "ru") for i in range(270)] + [(i, prose(hindi), "hi") for i in range(300, 330)]
+    rows += [(400 + i, prose(hindi).replace(" ", "!? "), "hi") for i in range(2)]  # far from its language
+    rows += [(500, prose("abc.-"), "xx"), (501, prose("ab+-*/="), None), (502, prose("abcdefg"), "en-US")]
+    junk = [(600 + i, "!!! ??? " * 200, "hi") for i in range(100)]  # fails the base and is no habit of the language
+    frame = spark.createDataFrame(rows + junk, "doc_id bigint, text string, lang string")
+    got = rows_of(quality_rules.judge(frame, ["doc_id"]).select("doc.doc_id", "*"))
+    assert all(got[i]["kept"] for i, _, lang in rows if i < 400 or i >= 500)
+    assert all(got[i]["class_distance"] < 0.1 for i in range(300, 330))
+    assert got[400]["class_distance"] > 0.2 and got[501]["class_distance"] is None
+    assert not any(got[600 + i]["kept"] for i in range(100))
+
+
 def test_mixing(docs, by_id):
     rows = rows_of(mixing.mix(docs, block=16))
     sizes = {}
