@@ -92,6 +92,17 @@ def test_secret_network_finds_keys_the_patterns_miss():
     assert secret_scan.train([], clean).threshold == float("inf")
 
 
+def test_threshold_keeps_the_recall_of_an_unsure_network():
+    rnd = np.random.default_rng(2)
+    net = secret_scan.CharNetwork.new(rnd)
+    codes = np.stack([secret_scan.segments(f"x \0{''.join(rnd.choice(list('abcdefgh01'), 20))}\0 y")[0] for _ in range(800)])
+    labels = (rnd.random(800) < 0.25).astype(float)  # nothing to be told from the candidate
+    net.calibrate(codes, labels, 0.99)
+    chance = 1 / (1 + np.exp(-(net.slope * net.logits(codes) + net.shift)))
+    assert (chance[labels == 1] >= net.threshold).mean() >= 0.99 and net.recall >= 0.99
+    assert 0 < net.precision < 0.5
+
+
 def test_exact_dedup(docs, by_id):
     want = brute.equal_groups(by_id.items())
     for i, r in rows_of(exact_dedup.exact_duplicates(docs, slice_bits=3)).items():
