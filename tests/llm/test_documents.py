@@ -103,6 +103,37 @@ def test_threshold_keeps_the_recall_of_an_unsure_network():
     assert 0 < net.precision < 0.5
 
 
+def test_planted_secrets_of_any_shape_are_candidates_and_are_found(spark):
+    rnd = np.random.default_rng(12)
+
+    def key(alphabet, n):
+        return "".join(rnd.choice(list(alphabet), n))
+
+    letters = secret_scan.LETTERS
+    words = ["the", "international", "of", "characteristics", "and", "Zusammenarbeit", "responsibility", "well-understood",
+             "in", "communication", "text", "representation", "from", "Verantwortung", "see"]
+    rows, planted = [], {}
+    forms = ["Authorization: Bearer {}", "the key is {} and", "| name | {} |", "value '{}' there", "password = {}"]
+    for i in range(600):
+        text = " ".join(rnd.choice(words, 30))
+        if i < 250:
+            value = key(letters, 20) if i % 5 < 4 else key(letters + "!#$%&*@^", 20)
+            text += " " + forms[i % 5].format(value)
+            planted[i] = (text.index(value), text.index(value) + len(value))
+            assert any(a <= planted[i][0] and planted[i][1] <= b for a, b in secret_scan.candidates(text)), text
+        elif i < 500:
+            text += f' token = "{key("0123456789abcdef", 40)}" and more'
+        rows.append((i, text + " " + " ".join(rnd.choice(words, 10))))
+    got = rows_of(secret_scan.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)))
+
+    def found(i):
+        spans = [tuple(map(int, s.split(":")[1:])) for s in got[i]["spans"].split(",") if s]
+        return any(a < planted[i][1] and planted[i][0] < b for a, b in spans)
+
+    assert np.mean([found(i) for i in planted]) > 0.8
+    assert np.mean([got[i]["n_model"] > 0 for i in range(500, 600)]) < 0.2
+
+
 def test_exact_dedup(docs, by_id):
     want = brute.equal_groups(by_id.items())
     for i, r in rows_of(exact_dedup.exact_duplicates(docs, slice_bits=3)).items():
