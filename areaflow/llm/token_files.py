@@ -67,14 +67,16 @@ def store(location: str) -> tuple[fs.FileSystem, str]:
 
 
 class PieceEncoder:
-    """The tokenizers library over pieces of texts; ids of pieces met lately are kept."""
+    """The tokenizers library with its defaults over pieces of texts; ids of pieces met lately are kept.
+
+    The literal of an added token has no white space, so a piece holds it whole.
+    """
 
     def __init__(self, model: str, limit: int = CACHED_PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.width = np.dtype(self.code)
         self.known: dict[str, bytes] = {}

@@ -285,6 +285,16 @@ def test_pieces_of_any_text_encode_as_the_text():
             assert np.frombuffer(data, pieces.width).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_added_tokens_in_a_text_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
+        model = f.read()
+    pieces, t = token_files.PieceEncoder(model), Tokenizer.from_str(model)
+    for text in ("<|endoftext|>", "one two.<|endoftext|>Three four, \n<|endoftext|> <|endoftext|><|endoftext|>x", "a <|endoftext| >"):
+        assert np.frombuffer(pieces.encode([text])[0], pieces.width).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
 def test_damaged_records_are_noticed():
     record = token_files.frame(b"abcdef")
     assert token_files.unframe(record, 0) == b"abcdef"
