@@ -1,9 +1,10 @@
 """Registered queries of this subpackage and their checking SQL."""
 
 import corpus_pipeline
-from areaflow.llm import (exact_dedup, html_wrappers, mixing, quality_model, quality_rules, secret_scan, sharding,
-                          simhash_links, token_files, token_tree)
-from areaflow.llm.oracles import ORACLES  # noqa: F401
+from areaflow.llm import (exact_dedup, html_wrappers, mixing, oracles, periodic_runs, quality_model, quality_rules,
+                          secret_scan, sharding, simhash_links, token_files, token_tree, word_oracles)
+
+ORACLES = {**oracles.ORACLES, **word_oracles.ORACLES}
 
 QUERIES = {
     "pipeline": corpus_pipeline.run,
@@ -17,4 +18,5 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
