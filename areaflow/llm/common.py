@@ -28,6 +28,12 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(text, F.lit(WORD)).cast("bigint")
 
 
+def ascii_lower(word: Column) -> Column:
+    """word with A-Z in lower case and every other letter as it is; cheap where the word is all ASCII."""
+    return F.when(F.octet_length(word) == F.char_length(word), F.lower(word)).otherwise(
+        F.translate(word, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
+
+
 def body_key(text: str = "text") -> Column:
     """64-bit key of a text that tells a null from an empty one; used beside doc_id, never alone."""
     return F.xxhash64(F.col(text), F.col(text).isNull())

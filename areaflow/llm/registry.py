@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 from areaflow.llm import (exact_dedup, html_wrappers, mixing, oracles, periodic_runs, quality_model, quality_rules,
-                          secret_scan, sharding, simhash_links, token_files, token_tree, word_oracles)
+                          secret_scan, sharding, simhash_links, spelling, token_files, token_tree, word_oracles)
 
 ORACLES = {**oracles.ORACLES, **word_oracles.ORACLES}
 
@@ -19,4 +19,5 @@ QUERIES = {
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_spelling_variants": spelling.op13_spelling_variants,
 }

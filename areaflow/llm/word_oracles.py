@@ -36,4 +36,26 @@ SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * le
     sha256(coalesce(lines, '')) AS runs_sha256, sha256(CASE WHEN n_runs > 0 THEN words ELSE array_to_string(w, ' ') END) AS collapsed_sha256
 FROM t LEFT JOIN best USING (doc_id) LEFT JOIN texts USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
-ORACLES = {"op12_periodic_runs": PERIODIC_RUNS}
+# Near words meet over all texts with one letter deleted; forms are followed one at a time.
+SPELLING_VARIANTS = rf"""
+WITH RECURSIVE {_CRC_TABLE},
+    r AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS times FROM (
+        SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-zÀ-ÿ]+')) AS run FROM documents) GROUP BY ALL),
+    h AS (SELECT run, times, {_crc32("(doc_id || ':' || run)")} AS h FROM r, crc_table),
+    v AS (SELECT word, sum(times)::BIGINT AS n FROM (SELECT times, CASE WHEN h % 97 = 0
+            THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h)
+        WHERE length(word) >= 5 GROUP BY word HAVING sum(times) >= 3),
+    cut AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM v)),
+    pairs AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.rest = y.rest AND x.i = y.i AND x.word <> y.word
+        UNION SELECT word, near, near_n FROM (SELECT c.word, v.word AS near, v.n AS near_n FROM cut c JOIN v ON c.rest = v.word)
+        UNION SELECT v.word, c.word, c.n FROM cut c JOIN v ON c.rest = v.word),
+    b AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM pairs GROUP BY word),
+    f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 2 * v.n THEN top END AS form_n,
+        CASE WHEN top >= 2 * v.n THEN (SELECT min(near) FROM pairs p WHERE p.word = v.word AND p.near_n = top) END AS form
+        FROM v LEFT JOIN b USING (word)),
+    walk AS (SELECT word, word AS root, 0 AS steps FROM f UNION ALL
+        SELECT walk.word, f.form, steps + 1 FROM walk JOIN f ON walk.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, form, max_by(root, steps) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
+FROM walk JOIN f USING (word) GROUP BY word, form"""
+
+ORACLES = {"op13_spelling_variants": SPELLING_VARIANTS, "op12_periodic_runs": PERIODIC_RUNS}
