@@ -1,7 +1,7 @@
 """Registered queries of this subpackage and their checking SQL."""
 
 import corpus_pipeline
-from areaflow.llm import (exact_dedup, html_wrappers, mixing, oracles, periodic_runs, quality_model, quality_rules,
+from areaflow.llm import (exact_dedup, html_wrappers, mixing, oracles, periodic_runs, phrase_index, quality_model, quality_rules,
                           secret_scan, sharding, simhash_links, spelling, token_files, token_tree, word_oracles)
 
 ORACLES = {**oracles.ORACLES, **word_oracles.ORACLES}
@@ -18,6 +18,7 @@ QUERIES = {
     "op8_token_files": token_files.op8_token_files,
     "op9_simhash": simhash_links.op9_simhash,
     "op10_quality_rules": quality_rules.op10_quality_rules,
+    "op11_decontamination": phrase_index.op11_decontamination,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_spelling_variants": spelling.op13_spelling_variants,
 }

@@ -58,4 +58,23 @@ WITH RECURSIVE {_CRC_TABLE},
 SELECT word, form, max_by(root, steps) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n
 FROM walk JOIN f USING (word) GROUP BY word, form"""
 
-ORACLES = {"op13_spelling_variants": SPELLING_VARIANTS, "op12_periodic_runs": PERIODIC_RUNS}
+# Every stretch of a document as long as some window is compared with the windows.
+DECONTAMINATION = r"""
+WITH low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    d AS (SELECT row_number() OVER () AS r, doc_id, w, len(w) AS n FROM low),
+    b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    win AS (SELECT DISTINCT item_id, array_to_string(w[i + 1:i + 10], ' ') AS phrase, least(len(w), 10) AS size FROM (
+        SELECT item_id, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+    st AS (SELECT r, size, i, array_to_string(w[i + 1:i + size], ' ') AS phrase FROM (
+        SELECT r, w, size, unnest(range(n - size + 1)) AS i FROM d, (SELECT DISTINCT size FROM win) WHERE n >= size)),
+    m AS (SELECT r, i, st.size, item_id FROM st JOIN win ON st.phrase = win.phrase AND st.size = win.size),
+    hit AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + size)) AS k FROM m) GROUP BY r),
+    items AS (SELECT r, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names FROM (
+        SELECT DISTINCT r, coalesce(item_id::VARCHAR, '') AS item FROM m) GROUP BY r)
+SELECT doc_id, d.n AS n_words, coalesce(hit.n, 0) AS n_hit, coalesce(items.n, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)"""
+
+ORACLES = {"op11_decontamination": DECONTAMINATION, "op13_spelling_variants": SPELLING_VARIANTS, "op12_periodic_runs": PERIODIC_RUNS}
