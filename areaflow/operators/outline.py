@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions.geometry import area, dilate, is_proper, perimeter
 from areaflow.functions.numbers import exact_area
-from areaflow.operators import overlay
+from areaflow.operators import overlay, rings
 from areaflow.operators.components import components
 from areaflow.session import cut_lineage
 
@@ -25,6 +25,7 @@ MIN_PART_SHARE = 0.1
 MIN_OUTLINE_AREA = 0.1
 MIN_OUTLINE_LENGTH = 1.0
 THIN = 1e-7
+RING_DIGITS = 6
 SIDES = ["a", "b", "ya", "yb", "ta", "tb"]
 
 
@@ -116,7 +117,7 @@ def span_edges(spans: DataFrame, keys: list[str], layer: str) -> DataFrame:
     return spans.select(*keys, F.lit(layer).alias("layer"), F.explode(sides).alias("e")).select(*keys, "layer", "e.*")
 
 
-def upright_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
+def upright_edges(spans: DataFrame, keys: list[str], thin: float = THIN) -> DataFrame:
     """Vertical border pieces: where only one of the two strips at an x is covered."""
     def ends(x: str, lo: str, hi: str, side: str) -> DataFrame:
         marks = F.array(F.struct(F.col(lo).alias("y"), F.lit(1).alias("s")), F.struct(F.col(hi).alias("y"), F.lit(-1).alias("s")))
@@ -130,7 +131,7 @@ def upright_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
     run = up.rowsBetween(Window.unboundedPreceding, 0)
     swept = marks.select(*keys, "x", "y", F.lead("y").over(up).alias("top"),
                          (F.sum("l").over(run) > 0).alias("in_l"), (F.sum("r").over(run) > 0).alias("in_r"))
-    border = swept.where((F.col("in_l") != F.col("in_r")) & (F.col("top") - F.col("y") > THIN))
+    border = swept.where((F.col("in_l") != F.col("in_r")) & (F.col("top") - F.col("y") > thin))
     rises = F.col("in_l")  # covered on the left: the border runs upwards
     return border.select(*keys, F.col("x").alias("x1"), F.when(rises, F.col("y")).otherwise(F.col("top")).alias("y1"),
                          F.col("x").alias("x2"), F.when(rises, F.col("top")).otherwise(F.col("y")).alias("y2"))
@@ -140,6 +141,13 @@ def border_edges(spans: DataFrame, keys: list[str]) -> DataFrame:
     return span_edges(spans, keys, "a").drop("layer").unionByName(upright_edges(spans, keys))
 
 
+def ring_border(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """The border as closed edges to chain: corners are snapped first, so that none of the pieces between them is missing."""
+    snapped = spans.select(*keys, *[F.round(c, RING_DIGITS).alias(c) for c in ("a", "b", "ya", "yb", "ta", "tb")])
+    edges = span_edges(snapped, keys, "a").drop("layer").unionByName(upright_edges(snapped, keys, 0.0))
+    return rings.closed_edges(edges, keys, RING_DIGITS)
+
+
 def erode(spans: DataFrame, keys: list[str], distance: float, k: int, tile: float | None) -> DataFrame:
     """Region minus the capsules of its border edges, as gaps of a new sweep."""
     ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
@@ -177,10 +185,16 @@ def hole_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 @dataclass
 class Outlines:
-    """Measures per group and the directed border edges of the outlines."""
+    """Measures per group, the directed border edges of the outlines and their spans."""
 
     measures: DataFrame
     edges: DataFrame
+    spans: DataFrame
+    keys: list[str]
+
+    def polygons(self) -> DataFrame:
+        """keys, outline_polygon: the text of each outline."""
+        return rings.polygon_text(ring_border(self.spans, self.keys), self.keys)
 
 
 def enclosed_outline(walls: DataFrame, keys: list[str], distance: float = BUFFER, k: int = 64,
@@ -205,4 +219,5 @@ def enclosed_outline(walls: DataFrame, keys: list[str], distance: float = BUFFER
     lengths = edges.groupBy(*keys).agg(exact_area(length).alias("perimeter"))
     areas = final.groupBy(*keys).agg(exact_area(overlay.gap_area()).alias("area"))
     measures = cut_lineage(areas.join(lengths, keys).where(valid_outline(F.col("area"), F.col("perimeter"))))
-    return Outlines(measures, edges.join(measures.select(*keys), keys, "left_semi"))
+    valid = measures.select(*keys)
+    return Outlines(measures, edges.join(valid, keys, "left_semi"), final.join(valid, keys, "left_semi"), keys)

@@ -86,7 +86,15 @@ CTES.update({
 })
 
 ORACLES = {
-    "floor_area": with_ctes("SELECT * EXCLUDE (exact_area) FROM f_rep", "f_rep"),
+    "report_json": with_ctes("""SELECT r.model_id, r.storey_id, to_json({'total_area': total_area, 'regulation_applied': regulation_applied, 'summary_text': summary_text,
+            'story': {'story_name': story_name, 'elevation': elevation, 'height': height, 'base_area': base_area, 'height_coefficient': height_coefficient,
+            'adjustments_area': adjustments_area, 'adjustment_details': coalesce(notes, []), 'calculated_area': calculated_area, 'area_full': area_full,
+            'area_half': area_half, 'area_excluded': area_excluded, 'outline_polygon': NULL, 'components': items}})::VARCHAR AS json
+        FROM p_rep r JOIN p_tot t ON t.model_id = r.model_id JOIN (SELECT model_id, storey_id, list({'category': category, 'raw_area': raw_area::DOUBLE, 'coefficient': coefficient::DOUBLE,
+            'effective_area': effective_area::DOUBLE, 'note': note} ORDER BY ord) AS items FROM p_comp GROUP BY 1, 2) c ON c.model_id = r.model_id AND c.storey_id = r.storey_id
+        LEFT JOIN (SELECT model_id, storey_id, list(detail ORDER BY ord) FILTER (detail IS NOT NULL) AS notes FROM p_parts GROUP BY 1, 2) d
+            ON d.model_id = r.model_id AND d.storey_id = r.storey_id""", "p_rep", "p_tot", "p_comp", "p_parts"),
+    "floor_area": with_ctes("SELECT f_rep.* EXCLUDE (exact_area), outline_polygon FROM f_rep LEFT JOIN q_text USING (model_id, storey_id)", "f_rep", "q_text"),
     "height_coef": with_ctes(f"SELECT model_id, storey_id, {rnd('height', 4)} AS height, k AS height_coef FROM allk", "allk", extra={
         "allk": (["storeys", "models", "rules"], """SELECT s.model_id, storey_id, height, CASE WHEN height >= 2.2::DOUBLE THEN 1.0 WHEN height < 1.2::DOUBLE THEN 0.0 ELSE 0.5 END AS k FROM storeys s""")}),
     "balcony_coef": with_ctes("""SELECT model_id, region, CASE WHEN r_regionkey % 2 = 0 THEN 1.0 ELSE 0.5 END AS balcony_coef FROM models JOIN region ON r_name = region""", "models"),

@@ -8,6 +8,11 @@ CTES.update({
 })
 
 
+def _half(v: str) -> str:
+    """A number of half metres as text, without a trailing zero."""
+    return f"(({v}) // 2) || CASE WHEN ({v}) % 2 = 1 THEN '.5' ELSE '' END"
+
+
 def outline_ctes(p: str, rects: str) -> dict[str, tuple[list[str], str]]:
     """Enclosed outline of rectangles on the half-metre grid, by rectangle graphs and flood fill."""
     ox = "least(a.gx+a.gw, b.gx+b.gw) - greatest(a.gx, b.gx)"
@@ -44,6 +49,19 @@ def outline_ctes(p: str, rects: str) -> dict[str, tuple[list[str], str]]:
         f"{p}rim": ([f"{p}fill"], f"""SELECT c.model_id, c.storey_id, c.cx + CASE WHEN dx = 1 THEN 1 ELSE 0 END AS ax, c.cy + CASE WHEN dy = 1 THEN 1 ELSE 0 END AS ay,
             CASE WHEN dx = 0 THEN 1 ELSE 0 END AS lx, CASE WHEN dy = 0 THEN 1 ELSE 0 END AS ly FROM {p}fill c JOIN (VALUES (1,0),(-1,0),(0,1),(0,-1)) d(dx, dy) ON true
             WHERE NOT EXISTS (SELECT 1 FROM {p}fill n WHERE n.storey_id = c.storey_id AND n.cx = c.cx + dx AND n.cy = c.cy + dy)"""),
+        # Unit border edges with the region on their left (d: 0 east, 1 north, 2 west, 3 south), walked from lower-left corners.
+        f"{p}dir": ([f"{p}fill"], f"""SELECT c.model_id, c.storey_id, cx + fx AS x, cy + fy AS y, cx + tx AS x2, cy + ty AS y2, d FROM {p}fill c
+            JOIN (VALUES (0,0,-1,0,0,1,0),(1,1,0,1,0,1,1),(2,0,1,1,1,0,1),(3,-1,0,0,1,0,0)) v(d, dx, dy, fx, fy, tx, ty) ON true
+            WHERE NOT EXISTS (SELECT 1 FROM {p}fill n WHERE n.storey_id = c.storey_id AND n.cx = c.cx + dx AND n.cy = c.cy + dy)"""),
+        f"{p}next": ([f"{p}dir"], f"""SELECT a.storey_id, a.x2 AS x, a.y2 AS y, a.d, arg_min(b.d, (a.d - b.d + 5) % 4) AS d2 FROM {p}dir a JOIN {p}dir b ON a.storey_id = b.storey_id AND a.x2 = b.x AND a.y2 = b.y GROUP BY 1, 2, 3, 4"""),
+        f"{p}walk": ([f"{p}dir", f"{p}next"], f"""SELECT s.model_id, s.storey_id, s.x AS sx, s.y AS sy, s.x2 AS x, s.y2 AS y, 0 AS d, 1 AS step FROM {p}dir s
+                JOIN {p}dir w ON w.storey_id = s.storey_id AND w.d = 3 AND w.x2 = s.x AND w.y2 = s.y WHERE s.d = 0
+            UNION ALL SELECT w.model_id, w.storey_id, sx, sy, w.x + (d2 = 0)::INT - (d2 = 2)::INT, w.y + (d2 = 1)::INT - (d2 = 3)::INT, d2, step + 1
+            FROM {p}walk w JOIN {p}next n ON n.storey_id = w.storey_id AND n.x = w.x AND n.y = w.y AND n.d = w.d WHERE (w.x, w.y) > (sx, sy)"""),
+        f"{p}text": ([f"{p}walk", f"{p}next"], f"""SELECT model_id, storey_id, CASE WHEN count(*) = 1 THEN 'POLYGON ' || min(ring) ELSE 'MULTIPOLYGON (' || string_agg(ring, ', ' ORDER BY sx, sy) || ')' END AS outline_polygon FROM (
+            SELECT w.model_id, w.storey_id, sx, sy, '((' || {_half('sx')} || ' ' || {_half('sy')} || ', ' || string_agg({_half('w.x')} || ' ' || {_half('w.y')}, ', ' ORDER BY step)
+                FILTER (w.d <> d2 OR (w.x = sx AND w.y = sy)) || '))' AS ring FROM {p}walk w JOIN {p}next n ON n.storey_id = w.storey_id AND n.x = w.x AND n.y = w.y AND n.d = w.d
+            GROUP BY 1, 2, 3, 4 HAVING bool_or(w.x = sx AND w.y = sy)) GROUP BY 1, 2"""),
     }
 
 
@@ -94,8 +112,9 @@ ORACLES = {
     "outside_area": with_ctes("""SELECT model_id, storey_id, count(*) FILTER (a)/4.0::DOUBLE AS area_a, count(*) FILTER (b)/4.0::DOUBLE AS area_b, count(*)/4.0::DOUBLE AS area_union,
         count(*) FILTER (a AND b)/4.0::DOUBLE AS area_both, count(*) FILTER (a AND NOT b)/4.0::DOUBLE AS area_a_only FROM (
         SELECT model_id, storey_id, cx, cy, bool_or(layer = 'slab') AS a, bool_or(layer = 'wall') AS b FROM cells GROUP BY 1, 2, 3, 4) GROUP BY 1, 2""", "cells"),
-    "enclosed_outline": with_ctes("""SELECT f.model_id, f.storey_id, area, perimeter FROM (SELECT model_id, storey_id, count(*)/4.0::DOUBLE AS area FROM o_fill GROUP BY 1, 2) f
-        JOIN (SELECT model_id, storey_id, count(*)/2.0::DOUBLE AS perimeter FROM o_rim GROUP BY 1, 2) r USING (model_id, storey_id)""", "o_fill", "o_rim"),
+    "enclosed_outline": with_ctes("""SELECT f.model_id, f.storey_id, area, perimeter, outline_polygon FROM (SELECT model_id, storey_id, count(*)/4.0::DOUBLE AS area FROM o_fill GROUP BY 1, 2) f
+        JOIN (SELECT model_id, storey_id, count(*)/2.0::DOUBLE AS perimeter FROM o_rim GROUP BY 1, 2) r USING (model_id, storey_id)
+        JOIN o_text USING (model_id, storey_id)""", "o_fill", "o_rim", "o_text"),
     "external_walls": with_ctes(f"""SELECT w.model_id, w.storey_id, w.poly_id, {rnd('count(ax)/2.0::DOUBLE/(gw+gd)', 4)} AS ratio, count(ax)/2.0::DOUBLE/(gw+gd) > 0.1 AS is_external
         FROM wr w LEFT JOIN o_rim r ON r.model_id = w.model_id AND r.storey_id = w.storey_id AND ax >= gx AND ax + lx <= gx+gw AND ay >= gy AND ay + ly <= gy+gd GROUP BY w.model_id, w.storey_id, w.poly_id, gw, gd""", "wr", "o_rim"),
     "wall_thickness": with_ctes(f"""SELECT model_id, {rnd("coalesce(list_sort(list(least(x1-x0, y1-y0)) FILTER (m.express_id IS NOT NULL))[count(m.express_id)//2 + 1], 0.2)", 4)} AS thickness

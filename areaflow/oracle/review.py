@@ -2,6 +2,7 @@
 
 from areaflow.oracle.base import CTES, rnd, with_ctes
 from areaflow.oracle.features import ORACLES as _FEATURES
+from areaflow.oracle.geometry import _half
 
 _TOUCH = "a.gx <= o.gx+o.gw AND o.gx <= a.gx+a.gw AND a.gy <= o.gy+o.gd AND o.gy <= a.gy+a.gd"
 _COVER = "o.ifc_type IN ('IfcRoof','IfcCovering')"
@@ -47,6 +48,9 @@ _FACTOR = "coalesce(manual_factor, CASE WHEN semantic_category = 'BALCONY' THEN
 
 ORACLES = {
     "mesh_footprint": with_ctes("SELECT model_id, express_id, gw*gd/4.0::DOUBLE AS area, 4 AS n_edges FROM base WHERE ifc_type = 'IfcSlab'", "base"),
+    "footprint_ring": with_ctes(f"""SELECT model_id, express_id, 'POLYGON ((' || {_half('gx')} || ' ' || {_half('gy')} || ', ' || {_half('gx+gw')} || ' ' || {_half('gy')} || ', '
+        || {_half('gx+gw')} || ' ' || {_half('gy+gd')} || ', ' || {_half('gx')} || ' ' || {_half('gy+gd')} || ', ' || {_half('gx')} || ' ' || {_half('gy')} || '))' AS footprint
+        FROM base WHERE ifc_type = 'IfcSlab'""", "base"),
     "section_lines": with_ctes("SELECT model_id, express_id, 8 AS n_segments, (gw + gd)::DOUBLE AS total_length FROM base WHERE h_cm >= 100", "base"),
     "slab_above": with_ctes("SELECT * FROM sab", "sab"),
     "nearest_above": with_ctes(f"""SELECT a.model_id, a.express_id, arg_min(o.express_id, (o.z0, o.express_id)) AS above_id, min(o.z0) AS above_z

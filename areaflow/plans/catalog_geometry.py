@@ -104,7 +104,8 @@ def outside_area(spark: SparkSession, folder: str) -> DataFrame:
 
 def enclosed_outline(spark: SparkSession, folder: str) -> DataFrame:
     found = outline.enclosed_outline(rings(Buildings(spark, folder), "wall"), STOREY, k=MITRED)
-    return found.measures.select(*STOREY, rounded("area", 4).alias("area"), rounded("perimeter", 4).alias("perimeter"))
+    return found.measures.join(found.polygons(), STOREY, "left").select(
+        *STOREY, rounded("area", 4).alias("area"), rounded("perimeter", 4).alias("perimeter"), "outline_polygon")
 
 
 def external_walls(spark: SparkSession, folder: str) -> DataFrame:

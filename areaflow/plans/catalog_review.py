@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaflow.functions.numbers import rounded
-from areaflow.operators import assign, classify, clearance, hierarchy, review, storeys
+from areaflow.operators import assign, classify, clearance, hierarchy, review, rings, storeys
 from areaflow.operators.ordered import with_neighbours
 from areaflow.plans.catalog_features import element_features
 from areaflow.session import checkpoint_dir, cut_lineage
@@ -25,6 +25,12 @@ def mesh_footprint(spark: SparkSession, folder: str) -> DataFrame:
     return clearance.footprint_area(border).select(*SLAB, rounded("area", 4).alias("area"), "n_edges")
 
 
+def footprint_ring(spark: SparkSession, folder: str) -> DataFrame:
+    """The ring of each slab's top, from its smallest corner on."""
+    border = clearance.face_border(Buildings(spark, folder).meshes().where("ifc_type = 'IfcSlab'"), "top")
+    return rings.polygon_text(rings.closed_edges(border, SLAB), SLAB).withColumnRenamed("outline_polygon", "footprint")
+
+
 def section_lines(spark: SparkSession, folder: str) -> DataFrame:
     meshes = Buildings(spark, folder).meshes()
     low = F.array_min(clearance.axis(F.col("verts"), 2)) + 0.995
@@ -204,6 +210,6 @@ def spatial_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    mesh_footprint, section_lines, slab_above, nearest_above, ray_height, section_crossing, clearance_class,
+    mesh_footprint, footprint_ring, section_lines, slab_above, nearest_above, ray_height, section_crossing, clearance_class,
     element_factor, manual_factor, element_view, review_fold, rejected_actions, queue_after_review, review_counts,
     review_stream, align_stream, spatial_tree)} | {"clearance": clearance_heights}

@@ -41,12 +41,20 @@ class AreaRun:
     facts: DataFrame
     parts: DataFrame
     sums: DataFrame
-    report: DataFrame
+    polygons: DataFrame | None = None  # model_id, storey_id, outline_polygon, where the geometry gave outlines
+
+    @property
+    def report(self) -> DataFrame:
+        """One row per storey; outline_polygon is null where there is no outline."""
+        rows = area.storey_report(self.sums)
+        if self.polygons is None:
+            return rows.withColumn("outline_polygon", F.lit(None).cast("string"))
+        return rows.join(self.polygons, STOREY, "left")
 
     def saved(self) -> AreaRun:
-        """The same run with parts and sums written once, for callers that read several of its tables."""
-        parts, sums = cut_lineage(self.parts), cut_lineage(self.sums)
-        return AreaRun(self.facts, parts, sums, area.storey_report(sums))
+        """The same run with parts, sums and polygons written once, for callers that read several of its tables."""
+        return AreaRun(self.facts, cut_lineage(self.parts), cut_lineage(self.sums),
+                       None if self.polygons is None else cut_lineage(self.polygons))
 
     @property
     def components(self) -> DataFrame:
@@ -64,13 +72,13 @@ def positions(elements: DataFrame, placements: DataFrame, models: DataFrame) ->
     return scaled.withColumn("z_m", F.col("z") * F.col("unit_scale")).drop("z", "unit_scale")
 
 
-def calculate(storey_inputs: DataFrame, items: DataFrame, rule_rows: DataFrame) -> AreaRun:
+def calculate(storey_inputs: DataFrame, items: DataFrame, rule_rows: DataFrame, polygons: DataFrame | None = None) -> AreaRun:
     """Storeys with region, base and outside area, plus semantic items on storeys, to the report tables."""
     # Storeys are few next to elements and feed four joins: computed once, kept on shared storage.
     facts = cut_lineage(area.storey_facts(storeys.drop_roofs(storey_inputs), rule_rows))
     parts = area.adjustments(facts, items, rule_rows)
     sums = area.storey_sums(facts, parts)
-    return AreaRun(facts, parts, sums, area.storey_report(sums))
+    return AreaRun(facts, parts, sums, polygons)
 
 
 def items_on_storeys(alignment: DataFrame, kept: DataFrame) -> DataFrame:
@@ -79,8 +87,8 @@ def items_on_storeys(alignment: DataFrame, kept: DataFrame) -> DataFrame:
         *STOREY, "item_ord", "category", "area", "manual_factor")
 
 
-def storey_areas(t: ModelTables, kept: DataFrame, buffer_sides: int, tile: float | None) -> DataFrame:
-    """Base (enclosed) and outside (balcony) area per storey from the geometry."""
+def storey_areas(t: ModelTables, kept: DataFrame, buffer_sides: int, tile: float | None) -> tuple[DataFrame, DataFrame]:
+    """Base (enclosed) and outside (balcony) area per storey from the geometry, and the outlines as text."""
     shapes = clearance.solids(t.meshes.where(F.col("ifc_type").isin(assign.ENVELOPE_TYPES))).select(
         "model_id", "express_id", "ring")
     walls = assign.nearest_storey(assign.envelope(t.elements), kept).join(shapes, ["model_id", "express_id"]).select(
@@ -97,13 +105,14 @@ def storey_areas(t: ModelTables, kept: DataFrame, buffer_sides: int, tile: float
         outlines.edges.withColumn("layer", F.lit("b")).select(*cols))
     gaps = overlay.sweep(edges, STOREY, tile)
     outside = overlay.gap_sums(gaps, STOREY).select(*STOREY, F.col("area_a_only").alias("outside_area"))
-    return outlines.measures.select(*STOREY, F.col("area").alias("base_area")).join(outside, STOREY, "left")
+    areas = outlines.measures.select(*STOREY, F.col("area").alias("base_area")).join(outside, STOREY, "left")
+    return areas, outlines.polygons()
 
 
 def floor_area(t: ModelTables, buffer_sides: int = 64, tile: float | None = overlay.TILE) -> AreaRun:
     """Storeys, outlines, slabs, semantics and rules to component rows, storey report and totals."""
     kept = cut_lineage(storeys.storeys(t.storeys_raw, t.models))
-    areas = storey_areas(t, kept, buffer_sides, tile)
+    areas, polygons = storey_areas(t, kept, buffer_sides, tile)
     inputs = kept.join(areas, STOREY, "left").join(t.models.select("model_id", "region"), "model_id").withColumns(
         {c: F.coalesce(c, F.lit(0.0)) for c in ("base_area", "outside_area")})
-    return calculate(inputs, items_on_storeys(t.alignment, kept), t.rules)
+    return calculate(inputs, items_on_storeys(t.alignment, kept), t.rules, polygons)

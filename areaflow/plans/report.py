@@ -73,10 +73,10 @@ def json_documents(report: DataFrame, component_rows: DataFrame, totals: DataFra
     empty = F.array().cast("array<string>")
     story = F.struct("story_name", "elevation", "height", "base_area", "height_coefficient", "adjustments_area",
                      F.coalesce("_details", empty).alias("adjustment_details"),
-                     "calculated_area", "area_full", "area_half", "area_excluded", "components")
+                     "calculated_area", "area_full", "area_half", "area_excluded", "outline_polygon", "components")
     return report.join(parts, ["model_id", "storey_id"]).join(notes, ["model_id", "storey_id"], "left").join(
         totals, "model_id").select("model_id", "storey_id", F.to_json(F.struct(
-            "total_area", "regulation_applied", "summary_text", story.alias("story"))).alias("json"))
+            "total_area", "regulation_applied", "summary_text", story.alias("story")), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "parquet", mode: str = "overwrite") -> None:

@@ -10,7 +10,7 @@ from conftest import rect, ring
 from pyspark.sql import functions as F
 
 from areaflow.functions import geometry
-from areaflow.operators import clearance, components, outline, overlay, spatial, walls
+from areaflow.operators import clearance, components, outline, overlay, rings, spatial, walls
 
 POLY = "k bigint, layer string, poly_id bigint, ring array<struct<x:double,y:double>>"
 
@@ -184,3 +184,53 @@ def test_footprint_of_l_shape(spark):
     mesh = spark.createDataFrame([(1, 1, verts, faces)], "model_id bigint, express_id bigint, verts array<double>, faces array<int>")
     row = clearance.footprint_area(clearance.face_border(mesh, "top")).first()
     assert (row.area, row.n_edges) == (14.0, 6)
+
+
+# --- rings from border edges ---
+
+def cell_edges(key, cells):
+    """Borders of unit squares, counter-clockwise; inner ones cancel."""
+    steps = ((0, 0, 1, 0), (1, 0, 1, 1), (1, 1, 0, 1), (0, 1, 0, 0))
+    return [(key, *(float(v) for v in (x + a, y + b, x + c, y + d))) for x, y in cells for a, b, c, d in steps]
+
+
+def texts_of(spark, shapes):
+    edges = spark.createDataFrame([e for k, cells in shapes.items() for e in cell_edges(k, cells)],
+                                  "k string, x1 double, y1 double, x2 double, y2 double").repartition(5)
+    return {r.k: r.outline_polygon for r in rings.polygon_text(rings.closed_edges(edges, ["k"]), ["k"]).collect()}
+
+
+def test_rings_of_shapes_with_notches_holes_and_islands(spark):
+    shapes = {
+        "u": [(0, 0), (1, 0), (2, 0), (0, 1), (2, 1)],
+        "hole": [(x, y) for x in range(5) for y in range(5) if (x, y) != (2, 2)],
+        "corner": [(0, 0), (1, 1), (5, 5)],
+        "nested": [(x, y) for x in range(9) for y in range(9) if not (2 <= x <= 6 and 2 <= y <= 6) or (x, y) == (4, 4)],
+        "pinched hole": [(x, y) for x in range(4) for y in range(4) if (x, y) not in ((1, 1), (2, 2))],
+        "pinched shell": [(x, y) for x in range(3) for y in range(3) if (x, y) not in ((1, 1), (2, 2))],
+        "bar": [(x, 0) for x in range(300)]}
+    assert texts_of(spark, shapes) == {
+        "u": "POLYGON ((0 0, 3 0, 3 2, 2 2, 2 1, 1 1, 1 2, 0 2, 0 0))",
+        "hole": "POLYGON ((0 0, 5 0, 5 5, 0 5, 0 0), (2 2, 2 3, 3 3, 3 2, 2 2))",
+        "corner": "MULTIPOLYGON (((0 0, 1 0, 1 1, 0 1, 0 0)), ((1 1, 2 1, 2 2, 1 2, 1 1)), ((5 5, 6 5, 6 6, 5 6, 5 5)))",
+        "nested": "MULTIPOLYGON (((0 0, 9 0, 9 9, 0 9, 0 0), (2 2, 2 7, 7 7, 7 2, 2 2)), ((4 4, 5 4, 5 5, 4 5, 4 4)))",
+        "pinched hole": "POLYGON ((0 0, 4 0, 4 4, 0 4, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1), (2 2, 2 3, 3 3, 3 2, 2 2))",
+        "pinched shell": "POLYGON ((0 0, 3 0, 3 2, 2 2, 2 3, 0 3, 0 0), (1 1, 1 2, 2 2, 2 1, 1 1))",
+        "bar": "POLYGON ((0 0, 300 0, 300 1, 0 1, 0 0))"}
+
+
+def test_rings_of_no_edges(spark):
+    none = spark.createDataFrame([], "k string, x1 double, y1 double, x2 double, y2 double")
+    assert rings.polygon_text(rings.closed_edges(none, ["k"]), ["k"]).collect() == []
+
+
+@pytest.mark.parametrize("sides", [8])
+def test_outline_ring_has_the_measured_area(spark, sides):
+    walls = [rect(0, 0, 8, 0.3), rect(0, 0, 0.3, 6), rect(7.7, 0, 8, 6), rect(0, 5.7, 5, 6), ring((2, 0), (3, -2), (3.2, -1.9), (2.2, 0.1))]
+    polys = spark.createDataFrame([(1, i, w) for i, w in enumerate(walls)], "storey int, poly_id int, ring array<struct<x:double,y:double>>")
+    found = outline.enclosed_outline(polys, ["storey"], k=sides)
+    measured = found.measures.collect()[0]
+    parts = rings.polygons(outline.ring_border(found.spans, ["storey"]), ["storey"]).select(
+        F.sum(geometry.area(F.col("shell")) - F.aggregate("holes", F.lit(0.0), lambda s, h: s + geometry.area(h))).alias("area")).collect()[0]
+    assert parts.area == pytest.approx(measured.area, abs=1e-3)
+    assert found.polygons().collect()[0].outline_polygon.startswith("POLYGON ((")
