@@ -16,6 +16,7 @@ from areaflow.functions.geometry import area, dilate, is_proper, perimeter
 from areaflow.functions.numbers import exact_area
 from areaflow.operators import overlay, rings
 from areaflow.operators.components import components
+from areaflow.operators.validity import with_shape_fault
 from areaflow.session import cut_lineage
 
 # Fixed values.
@@ -40,9 +41,13 @@ def valid_outline(ring_area: Column, ring_length: Column) -> Column:
 
 
 def validate_outlines(polys: DataFrame) -> DataFrame:
-    """F3 on single rings: area, perimeter and the verdict; rejects keep their row."""
-    measured = polys.withColumn("area", area(F.col("ring"))).withColumn("length", perimeter(F.col("ring")))
-    return measured.withColumn("valid", valid_outline(F.col("area"), F.col("length")))
+    """F3 on single rings: area, length, the verdict and the reason against a ring; rejects keep their row.
+
+    A fault of the shape comes before a small area, and that before a small length.
+    """
+    measured = with_shape_fault(polys).withColumn("area", area(F.col("ring"))).withColumn("length", perimeter(F.col("ring")))
+    reason = F.coalesce("fault", F.when(F.col("area") < MIN_OUTLINE_AREA, "area").when(F.col("length") < MIN_OUTLINE_LENGTH, "length"))
+    return measured.withColumn("reason", reason).withColumn("valid", F.col("reason").isNull()).drop("fault")
 
 
 def biggest() -> Column:

@@ -101,7 +101,11 @@ ORACLES = {
     "sample_grid": with_ctes("""SELECT model_id, poly_id, ix/2.0::DOUBLE AS px, iy/2.0::DOUBLE AS py FROM fp, unnest(generate_series(gx+1, gx+gw-1)) t(ix), unnest(generate_series(gy+1, gy+gd-1)) u(iy) WHERE layer = 'slab'""", "fp"),
     "buffer_area": with_ctes(f"SELECT model_id, poly_id, {rnd(f'gw*gd/4.0::DOUBLE + (gw+gd)*0.05::DOUBLE + {_K16}', 5)} AS area FROM wr", "wr"),
     "wall_strip": with_ctes(f"SELECT model_id, express_id, {_strip_columns()} FROM {_STRIP}", "base"),
-    "validate_outline": with_ctes(f"""SELECT model_id, poly_id, {rnd('gw*gd/256.0::DOUBLE', 6)} AS area, {rnd('(gw+gd)/8.0::DOUBLE', 6)} AS length, gw*gd/256.0::DOUBLE >= 0.1 AND (gw+gd)/8.0::DOUBLE >= 1.0 AS valid FROM fp""", "fp"),
+    "validate_outline": with_ctes(f"""SELECT model_id, poly_id, {rnd('a', 6)} AS area, {rnd('l', 6)} AS length, reason IS NULL AS valid, reason FROM (
+        SELECT *, CASE WHEN kind = 1 THEN 'crosses itself' WHEN kind = 2 THEN 'touches itself' WHEN kind = 3 THEN 'spike' WHEN a < 0.1 THEN 'area' WHEN l < 1.0 THEN 'length' END AS reason FROM (
+        SELECT model_id, poly_id, kind, w*d * CASE kind WHEN 1 THEN 0.125 WHEN 2 THEN 0.5 ELSE 1.0 END AS a, CASE kind WHEN 1 THEN sqrt(w*w + d*d) + d + sqrt(w*w + 0.5625*d*d) + 0.75*d
+            WHEN 2 THEN 2*w + 2*sqrt(w*w + d*d) WHEN 3 THEN 2*w + 2*d + 1 ELSE 2*w + 2*d END AS l
+        FROM (SELECT model_id, poly_id, poly_id % 6 AS kind, gw/16.0::DOUBLE AS w, gd/16.0::DOUBLE AS d FROM fp)))""", "fp"),
     "degenerate_filter": with_ctes("SELECT model_id, poly_id FROM fp WHERE poly_id % 7 <> 0 AND poly_id % 5 <> 0 AND poly_id % 11 <> 0", "fp"),
     "sliver_filter": with_ctes("""SELECT model_id, storey_id, part, area FROM (SELECT model_id, storey_id, poly_id AS part, gw*gd/4.0::DOUBLE AS area, max(gw*gd/4.0::DOUBLE) OVER w AS top,
         row_number() OVER (PARTITION BY model_id, storey_id ORDER BY gw*gd DESC, poly_id DESC) AS k FROM fp WINDOW w AS (PARTITION BY model_id, storey_id))
