@@ -16,6 +16,7 @@ from areaflow.functions.geometry import area, dilate, is_proper, perimeter
 from areaflow.functions.numbers import exact_area
 from areaflow.operators import overlay, rings
 from areaflow.operators.components import components
+from areaflow.operators.simplify import TOLERANCE
 from areaflow.operators.validity import with_shape_fault
 from areaflow.session import cut_lineage
 
@@ -197,9 +198,9 @@ class Outlines:
     spans: DataFrame
     keys: list[str]
 
-    def polygons(self) -> DataFrame:
-        """keys, outline_polygon: the text of each outline."""
-        return rings.polygon_text(ring_border(self.spans, self.keys), self.keys)
+    def polygons(self, tolerance: float | None = TOLERANCE) -> DataFrame:
+        """keys, outline_polygon: the text of each outline, simplified by `tolerance`; the measures are those of all corners."""
+        return rings.polygon_text(ring_border(self.spans, self.keys), self.keys, tolerance)
 
 
 def enclosed_outline(walls: DataFrame, keys: list[str], distance: float = BUFFER, k: int = 64,

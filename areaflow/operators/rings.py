@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from areaflow.functions.geometry import RING, area, cross, let, signed_area, wkt
 from areaflow.operators import spatial
+from areaflow.operators.simplify import simplified
 from areaflow.session import cut_lineage
 
 STRAIGHT = 1e-12
@@ -116,9 +117,13 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     return built.withColumn("is_hole", signed_area(F.col("ring")) < 0).where(F.size("ring") >= 3)
 
 
-def polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, ring_id, shell, holes: each shell with the holes in it, smallest shell around a hole first."""
-    found = cut_lineage(rings(edges, keys))
+def polygons(edges: DataFrame, keys: list[str], tolerance: float | None = None) -> DataFrame:
+    """keys, ring_id, shell, holes: each shell with the holes in it, smallest shell around a hole first.
+
+    With a tolerance the rings of a key are simplified together, before holes are nested.
+    """
+    found = rings(edges, keys)
+    found = cut_lineage(simplified(found, keys, tolerance) if tolerance else found)
     shells = found.where("not is_hole").select(*keys, "ring_id", "ring")
     a, b = F.col("ring")[0], F.col("ring")[1]
     # The middle of a hole's edge cannot lie on a shell: they meet at corners at most.
@@ -134,7 +139,7 @@ def polygons(edges: DataFrame, keys: list[str]) -> DataFrame:
         "holes", F.coalesce("holes", F.array().cast(f"array<{RING}>")))
 
 
-def polygon_text(edges: DataFrame, keys: list[str]) -> DataFrame:
+def polygon_text(edges: DataFrame, keys: list[str], tolerance: float | None = None) -> DataFrame:
     """Keys, outline_polygon: POLYGON or, with several shells, MULTIPOLYGON text of the region inside the edges.
 
     Rings start at their leftmost, then lowest corner; shells follow each other in the
@@ -143,7 +148,7 @@ def polygon_text(edges: DataFrame, keys: list[str]) -> DataFrame:
     def body(ring: Column) -> Column:
         return F.regexp_extract(wkt(ring), r"^POLYGON \((.*)\)$", 1)
 
-    one = polygons(edges, keys).withColumn("text", F.concat(F.lit("("), F.concat_ws(", ", body(F.col("shell")), F.transform("holes", body)), F.lit(")")))
+    one = polygons(edges, keys, tolerance).withColumn("text", F.concat(F.lit("("), F.concat_ws(", ", body(F.col("shell")), F.transform("holes", body)), F.lit(")")))
     texts = F.transform(F.array_sort(F.collect_list(F.struct("shell", "text"))), lambda s: s["text"])
     return one.groupBy(*keys).agg(texts.alias("_t")).select(*keys, F.when(
         F.size("_t") == 1, F.concat(F.lit("POLYGON "), F.col("_t")[0])).otherwise(

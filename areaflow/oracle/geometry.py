@@ -106,6 +106,9 @@ ORACLES = {
         SELECT model_id, poly_id, kind, w*d * CASE kind WHEN 1 THEN 0.125 WHEN 2 THEN 0.5 ELSE 1.0 END AS a, CASE kind WHEN 1 THEN sqrt(w*w + d*d) + d + sqrt(w*w + 0.5625*d*d) + 0.75*d
             WHEN 2 THEN 2*w + 2*sqrt(w*w + d*d) WHEN 3 THEN 2*w + 2*d + 1 ELSE 2*w + 2*d END AS l
         FROM (SELECT model_id, poly_id, poly_id % 6 AS kind, gw/16.0::DOUBLE AS w, gd/16.0::DOUBLE AS d FROM fp)))""", "fp"),
+    "simplified_ring": with_ctes(f"""SELECT model_id, poly_id, 'POLYGON ((' || {_half('gx')} || ' ' || {_half('gy')} || ', ' || {_half('gx+gw')} || ' ' || {_half('gy')} || ', '
+        || {_half('gx+gw')} || ' ' || {_half('gy+gd')} || ', ' || {_half('gx')} || ' ' || {_half('gy+gd')} || ', ' || {_half('gx')} || ' ' || {_half('gy')} || '))' AS ring_text
+        FROM fp WHERE layer = 'slab'""", "fp"),
     "degenerate_filter": with_ctes("SELECT model_id, poly_id FROM fp WHERE poly_id % 7 <> 0 AND poly_id % 5 <> 0 AND poly_id % 11 <> 0", "fp"),
     "sliver_filter": with_ctes("""SELECT model_id, storey_id, part, area FROM (SELECT model_id, storey_id, poly_id AS part, gw*gd/4.0::DOUBLE AS area, max(gw*gd/4.0::DOUBLE) OVER w AS top,
         row_number() OVER (PARTITION BY model_id, storey_id ORDER BY gw*gd DESC, poly_id DESC) AS k FROM fp WINDOW w AS (PARTITION BY model_id, storey_id))
