@@ -5,17 +5,46 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Fixed patterns of the exchange format.  Strings double their quotes; lists nest up to LIST_DEPTH deep.
-LIST_DEPTH = 6
+from areaflow.session import cut_lineage
+
+# Fixed patterns of the exchange format.  Strings double their quotes; lists nest as deep as they are found to.
+MAX_DEPTH = 400
 QUOTED = r"'(?:[^']++|'')*+'"
 COMMENT = r"/\*(?s:.*?)\*/"
-LIST = rf"\((?:[^()']++|{QUOTED})*+\)"
-for _ in range(LIST_DEPTH - 1):
-    LIST = rf"\((?:[^()']++|{QUOTED}|{LIST})*+\)"
 STATEMENT = rf"{QUOTED}|{COMMENT}|(#\d+\s*=(?:[^';/]++|{QUOTED}|{COMMENT}|/)*+);"
 INSTANCE = r"#\d+\s*="
 ENTITY = r"(?s)^#(\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)\)\s*$"
-ARGUMENT = rf"({QUOTED}|[A-Za-z0-9_]*{LIST}|[^,()'\s]+(?:\s+[^,()'\s]+)*)"
+
+
+def argument_pattern(depth: int) -> str:
+    """One argument at the top: a string, a list (with a type name or not) of at most `depth` levels, or anything else."""
+    inner = rf"(?:[^()']++|{QUOTED})*+"
+    for _ in range(depth - 1):
+        inner = rf"(?:[^()']++|{QUOTED}|\({inner}\))*+"
+    return rf"({QUOTED}|[A-Za-z0-9_]*\({inner}\)|[^,()'\s]+(?:\s+[^,()'\s]+)*)"
+
+
+def nesting_depth(statements: DataFrame) -> int:
+    """Levels of the deepest list in the arguments of any statement.
+
+    What is left of a statement without its strings and all but its brackets is
+    stripped of its innermost lists, eight levels a job, until nothing goes.  Only
+    the distinct remains are looked at, in which neighbouring lists are one.
+    """
+    bare = F.regexp_replace(without_comments(F.col("statement")), rf"{QUOTED}|[^()']", "")
+    shapes = cut_lineage(statements.select(F.regexp_replace(bare, r"(?:\(\))+", "()").alias("s")).distinct())
+    depth = 0
+    while depth <= MAX_DEPTH:
+        levels = [F.col("s")]
+        for _ in range(8):
+            levels.append(F.regexp_replace(levels[-1], r"(?:\(\))+", ""))
+        went = sum(((F.length(b) < F.length(a)).cast("int") for a, b in zip(levels, levels[1:])), F.lit(0))
+        deepest = shapes.agg(F.max(went)).first()[0] or 0
+        depth += deepest
+        if deepest < 8:
+            break
+        shapes = cut_lineage(shapes.select(levels[-1].alias("s")).distinct())
+    return max(1, depth - 1)  # the outermost brackets hold the arguments
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
@@ -41,23 +70,37 @@ def without_comments(statement: Column) -> Column:
     return F.trim(F.regexp_replace(statement, rf"({QUOTED})|{COMMENT}", "$1"))
 
 
-def parse_entities(statements: DataFrame) -> DataFrame:
-    """entity_id, entity_type (upper case) and the top-level arguments of each instance statement."""
+def parse_entities(statements: DataFrame, depth: int | None = None) -> DataFrame:
+    """entity_id, entity_type (upper case) and the top-level arguments of each instance statement.
+
+    Lists may be nested to any depth up to MAX_DEPTH, which is measured unless given;
+    statements with deeper ones are among the rejected statements.
+    """
+    keep = [c for c in statements.columns if c != "statement"]
+    whole = _cut(statements, min(MAX_DEPTH, depth or nesting_depth(statements))).where("is_whole")
+    return whole.select(*keep, F.regexp_extract("statement", ENTITY, 1).try_cast("bigint").alias("entity_id"),
+                        F.upper(F.regexp_extract("statement", ENTITY, 2)).alias("entity_type"), "args")
+
+
+def _cut(statements: DataFrame, depth: int) -> DataFrame:
+    """statement without comments, its arguments, and whether it is one whole entity whose arguments account for all of it."""
     keep = [c for c in statements.columns if c != "statement"]
-    s = without_comments(F.col("statement"))
-    return statements.select(*keep, s.alias("statement")).where(is_entity(F.col("statement"))).select(
-        *keep, F.regexp_extract("statement", ENTITY, 1).try_cast("bigint").alias("entity_id"),
-        F.upper(F.regexp_extract("statement", ENTITY, 2)).alias("entity_type"),
-        F.regexp_extract_all(F.regexp_extract("statement", ENTITY, 3), F.lit(ARGUMENT), 1).alias("args"))
+    pattern = argument_pattern(depth)
+    inner = F.regexp_extract("statement", ENTITY, 3)
+    bare = statements.select(*keep, F.col("statement").alias("_raw"), without_comments(F.col("statement")).alias("statement"))
+    cut = bare.withColumn("args", F.regexp_extract_all(inner, F.lit(pattern), 1))
+    rest = F.regexp_replace(inner, pattern, "")
+    return cut.withColumn("is_whole", F.coalesce(is_entity(F.col("statement")) & rest.rlike(r"^[\s,]*$"), F.lit(False)))
 
 
 def is_entity(statement: Column) -> Column:
     return statement.rlike(ENTITY) & F.regexp_extract(statement, ENTITY, 1).try_cast("bigint").isNotNull()
 
 
-def rejected_statements(statements: DataFrame) -> DataFrame:
-    """Side table: instance statements that are no single entity, such as those without an argument list."""
-    return statements.where(~F.coalesce(is_entity(without_comments(F.col("statement"))), F.lit(False)))
+def rejected_statements(statements: DataFrame, depth: int | None = None) -> DataFrame:
+    """Side table: instance statements that are no single whole entity, such as those without or with too deep an argument list."""
+    judged = _cut(statements, min(MAX_DEPTH, depth or nesting_depth(statements))).where("not is_whole")
+    return judged.select(*[c for c in statements.columns if c != "statement"], F.col("_raw").alias("statement"))
 
 
 def by_type(table: DataFrame, types: list[str], column: str = "ifc_type") -> DataFrame:

@@ -163,3 +163,16 @@ def test_dynamic_categories(spark):
 @pytest.mark.parametrize("text,want", [("#123=IfcWall('x')", 123), ("none", None)])
 def test_entity_id(spark, text, want):
     assert spark.createDataFrame([(text,)], "t string").select(features.entity_id(F.col("t")).alias("i")).first().i == want
+
+
+def test_lists_of_any_depth(spark):
+    deep = {d: "(" * d + "1.,'a)(''b',$" + ")" * d for d in (1, 6, 7, 8, 50)}
+    rows = [(d, f"#{d}=IFCTEST('x',{text},TYPED({text}),.T.)") for d, text in deep.items()]
+    rows += [(900, "#900=IFCOPEN('x',((1.)"), (901, "#901=IFCPOINTS((" + ",".join("(1.,2.)" for _ in range(3000)) + "))"), (902, "#902=IFCNONE()"),
+             (903, "#903=IFCTOO(" + "(" * 600 + ")" * 600 + ")")]
+    statements = spark.createDataFrame(rows, "no int, statement string")
+    got = {r.entity_id: r.args for r in model_files.parse_entities(statements).collect()}
+    assert got == {**{d: ["'x'", t, f"TYPED({t})", ".T."] for d, t in deep.items()}, 901: [rows[-3][1][len("#901=IFCPOINTS("):-1]], 902: []}
+    assert {r.no: r.statement for r in model_files.rejected_statements(statements).collect()} == {900: rows[-4][1], 903: rows[-1][1]}
+    assert model_files.nesting_depth(statements.where("no < 60")) == 51
+    assert model_files.parse_entities(statements.limit(0)).collect() == []
