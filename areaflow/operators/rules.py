@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Keyword lists in two languages, coefficient phrases, comparators.
@@ -172,42 +172,84 @@ def rule_context(rules: DataFrame) -> DataFrame:
 # --- conditions as bounds; nothing is ever evaluated as code ---
 
 _NUM = r"(-?\d+(?:\.\d+)?)"
-_RIGHT = rf"h\s*(<=|>=|<|>|==)\s*{_NUM}"
-_LEFT = rf"{_NUM}\s*(<=|>=|<|>)\s*h"
-_COMPARE = rf"(?:(?:{_NUM}\s*(?:<=|>=|<|>)\s*)?h\s*(?:<=|>=|<|>|==)\s*{_NUM}|{_NUM}\s*(?:<=|>=|<|>)\s*h)"
-_WHOLE = rf"^\s*{_COMPARE}(?:\s+and\s+{_COMPARE})*\s*$"
-_BRACKETED = rf"\(\s*((?:{_COMPARE})(?:\s+and\s+{_COMPARE})*)\s*\)"
+_COMPARE = rf"(?:(?:{_NUM}\s*(<=|>=|<|>)\s*)?\bh\s*(<=|>=|<|>|==)\s*{_NUM}|{_NUM}\s*(<=|>=|<|>)\s*h\b)"
+_EMPTY = (0.0, False, 0.0, False)  # bounds that nothing meets
 
 
-def with_bounds(rules: DataFrame) -> DataFrame:
-    """Add lo, lo_incl, hi, hi_incl and `parsed` for conditions on h: a row for each interval that `or` joins.
+def _holds(op: Column, x: Column, y: Column) -> Column:
+    return F.when(op == "<", x < y).when(op == "<=", x <= y).when(op == ">", x > y).when(op == ">=", x >= y).otherwise(x == y)
+
+
+def _reduced(formula: Column) -> Column:
+    """A formula over T, F, !, &, | and brackets with one more round of its innermost parts worked out."""
+    for pattern, result in ((r"\(([TF])\)", "$1"), ("!!", ""), ("!T", "f"), ("!F", "t")):
+        formula = F.regexp_replace(formula, pattern, result)
+    formula = F.translate(formula, "tf", "TF")
+    for pattern, result in (("T&T", "T"), ("[TF]&F|F&[TF]", "F")):
+        formula = F.regexp_replace(formula, pattern, result)
+    # `or` waits for an `and` or `not` beside it.
+    for pattern, result in (r"(?<![&!])(?:T\|[TF]|[TF]\|T)(?!&)", "T"), (r"(?<![&!])F\|F(?!&)", "F"):
+        formula = F.regexp_replace(formula, pattern, result)
+    return formula
+
 
-    Brackets may stand round comparisons and round parts joined by `and`; a condition
-    that distributes `and` over `or` is not parsed.
+def condition_bounds(conditions: DataFrame) -> DataFrame:
+    """condition_logic, parsed, lo, lo_incl, hi, hi_incl: the heights at which each condition (distinct) holds, an interval a row.
+
+    Conditions compare h with numbers and join comparisons by and, or, not and brackets
+    of any depth.  A condition can change only at its numbers, so it is worked out at
+    each of them, between neighbours and beyond the ends, and neighbouring places where
+    it holds become one interval.  The text is never evaluated as code; anything else
+    in it leaves it unparsed, with null bounds.
     """
-    logic = F.lower("condition_logic")
-    for _ in range(3):  # brackets round a comparison, then round what they were part of
-        logic = F.regexp_replace(logic, _BRACKETED, "$1")
-    parts = rules.select("*", F.split(logic, r"\s+or\s+").alias("_parts")).withColumn(
-        "parsed", F.coalesce(F.forall("_parts", lambda p: p.rlike(_WHOLE)), F.lit(False)))
-    rows = parts.select(*rules.columns, "parsed", F.explode_outer(F.when(F.col("parsed"), F.col("_parts"))).alias("_part"))
-    part = F.col("_part")
-
-    def comparisons(pattern: str, op_group: int, num_group: int, flip: bool) -> Column:
-        ops = F.regexp_extract_all(part, F.lit(pattern), op_group)
-        nums = F.regexp_extract_all(part, F.lit(pattern), num_group)
-        turned = F.create_map(*[F.lit(x) for pair in (("<", ">"), (">", "<"), ("<=", ">="), (">=", "<=")) for x in pair])
-        return F.zip_with(ops, nums, lambda o, n: F.struct(
-            (F.element_at(turned, o) if flip else o).alias("op"), n.cast("double").alias("v")))
-
-    every = F.concat(comparisons(_RIGHT, 1, 2, False), comparisons(_LEFT, 2, 1, True))
-    lower = F.transform(F.filter("_c", lambda c: c["op"].isin(">", ">=", "==")), lambda c: F.struct(
-        c["v"].alias("v"), (c["op"] == ">").alias("strict")))
-    upper = F.transform(F.filter("_c", lambda c: c["op"].isin("<", "<=", "==")), lambda c: F.struct(
-        c["v"].alias("v"), (c["op"] != "<").alias("incl")))
-    out = rows.withColumn("_c", every).withColumn("_lo", F.array_max(lower)).withColumn("_hi", F.array_min(upper))
-    return out.select(*rules.columns, "parsed", F.col("_lo.v").alias("lo"), (~F.col("_lo.strict")).alias("lo_incl"),
-                      F.col("_hi.v").alias("hi"), F.col("_hi.incl").alias("hi_incl"))
+    text = F.lower("condition_logic")
+    groups = [F.regexp_extract_all(text, F.lit(_COMPARE), k).alias(f"g{k}") for k in range(1, 7)]
+    frame = F.regexp_replace(text, _COMPARE, "@")
+    for word, sign in ((r"\band\b", "&"), (r"\bor\b", "|"), (r"\bnot\b", "!"), (r"\s+", "")):
+        frame = F.regexp_replace(frame, word, sign)
+    read = conditions.select("condition_logic", frame.alias("frame"), *groups)
+    tests = F.transform(F.arrays_zip(*[f"g{k}" for k in range(1, 7)]), lambda c: F.struct(
+        F.nullif(c["g1"], F.lit("")).cast("double").alias("a"), c["g2"].alias("ao"),
+        F.coalesce(F.nullif(c["g4"], F.lit("")), F.nullif(c["g5"], F.lit(""))).cast("double").alias("b"),
+        F.when(c["g4"] != "", c["g3"]).otherwise(F.translate(c["g6"], "<>", "><")).alias("bo")))
+    numbers = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform("tests", lambda t: F.array(t["a"], t["b"]))), lambda v: v.isNotNull())))
+    made = read.withColumn("tests", tests).withColumn("v", numbers)
+
+    def place(i: Column) -> Column:
+        """Place 2k is below number k, place 2k + 1 is number k itself."""
+        k = (i / 2).cast("int")
+        lo, hi = F.get("v", k - 1), F.get("v", k)
+        h = F.when(i % 2 == 1, hi).when(lo.isNull(), hi - 1).when(hi.isNull(), lo + 1).otherwise((lo + hi) / 2)
+        return F.struct(i.alias("i"), h.alias("h"), F.when(i % 2 == 1, hi).otherwise(lo).alias("lo"), hi.alias("hi"), (i % 2 == 1).alias("incl"))
+
+    places = made.where((F.size("tests") > 0) & F.col("frame").rlike(r"^[@&|!()]+$")).withColumn(
+        "p", F.explode(F.transform(F.sequence(F.lit(0), 2 * F.size("v")), place)))
+    met = F.transform("tests", lambda t: F.when(
+        (t["a"].isNull() | _holds(t["ao"], t["a"], F.col("p.h"))) & _holds(t["bo"], F.col("p.h"), t["b"]), "T").otherwise("F"))
+    formula = F.array_join(F.zip_with(F.split("frame", "@"), F.concat(met, F.array(F.lit(""))), lambda x, y: F.concat(x, y)), "")
+    worked = F.aggregate(F.sequence(F.lit(1), F.length("frame")), F.col("formula"), lambda f, _: _reduced(f))
+    judged = places.withColumn("formula", formula).select("condition_logic", "p.*", worked.alias("value"))
+    every = Window.partitionBy("condition_logic")
+    order = every.orderBy("i")
+    known = judged.withColumn("parsed", F.bool_and(F.col("value").isin("T", "F")).over(every)).where("parsed")
+    starts = known.withColumn("on", F.col("value") == "T").withColumn("island", F.sum(
+        F.when(F.col("on") & ~F.coalesce(F.lag("on").over(order), F.lit(False)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = starts.where("on").groupBy("condition_logic", "island").agg(
+        F.min_by("lo", "i").alias("lo"), F.min_by("incl", "i").alias("lo_incl"), F.max_by("hi", "i").alias("hi"), F.max_by("incl", "i").alias("hi_incl"))
+    bounds = spans.select("condition_logic", "lo", F.when(F.col("lo").isNotNull(), F.col("lo_incl")).alias("lo_incl"),
+                          "hi", F.when(F.col("hi").isNotNull(), F.col("hi_incl")).alias("hi_incl"), F.lit(True).alias("some"))
+    whole = known.select("condition_logic", "parsed").distinct().join(bounds, "condition_logic", "left")
+    never = [F.when(F.col("some"), F.col(c)).otherwise(F.lit(e)).alias(c) for c, e in zip(("lo", "lo_incl", "hi", "hi_incl"), _EMPTY)]
+    return conditions.join(whole.select("condition_logic", "parsed", *never), "condition_logic", "left").withColumn(
+        "parsed", F.coalesce("parsed", F.lit(False)))
+
+
+def with_bounds(rules: DataFrame) -> DataFrame:
+    """Add parsed, lo, lo_incl, hi, hi_incl for conditions on h: a row for each interval; one without bounds where it is not parsed."""
+    found = condition_bounds(rules.select("condition_logic").where("condition_logic is not null").distinct())
+    bounds = found.withColumnRenamed("condition_logic", "_logic")
+    return rules.join(bounds, F.col("condition_logic") == F.col("_logic"), "left").select(
+        *rules.columns, F.coalesce("parsed", F.lit(False)).alias("parsed"), "lo", "lo_incl", "hi", "hi_incl")
 
 
 def unparsed(rules: DataFrame) -> DataFrame:

@@ -128,8 +128,8 @@ def test_conditions_joined_by_or_and_brackets(spark):
         ("r", "height", 3, "", "(h < 1 or h > 2) and h < 9", 0.1, ""), ("r", "height", 4, "", "((h > 20))", 0.75, "")], RULES)
     heights = spark.createDataFrame([("r", float(h)) for h in (-1, 0, 1, 2, 3, 7, 8, 21)], "region string, height double")
     got = {r.height: r.height_coef for r in rules.height_coefficients(heights, rows).collect()}
-    assert got == {-1: 0.5, 0: 0.25, 1: 1.0, 2: 0.25, 3: 1.0, 7: 0.25, 8: 1.0, 21: 0.75}
-    assert [r.rule_ord for r in rules.unparsed(rows).collect()] == [3]
+    assert got == {-1: 0.1, 0: 0.1, 1: 1.0, 2: 0.25, 3: 0.1, 7: 0.1, 8: 0.1, 21: 0.75}
+    assert rules.unparsed(rows).collect() == []
 
 
 @pytest.mark.parametrize("text,want", [
@@ -204,3 +204,39 @@ def test_buckets_ignore_other_coefficients(spark):
 
 def test_rect_helper():
     assert len(rect(0, 0, 1, 1)) == 4
+
+
+def test_conditions_of_any_form_hold_where_their_text_does(spark):
+    texts = ["h >= 1.2 and (h < 2 or h > 3)", "not (h < 2)", "not h < 2", "((((h > 1))))", "not (not (h >= 2.2 or (h < 1 and h > 0.5)))",
+             "h < 1 and h > 2", "1.2 <= h < 2.2 or h == 5", "not (1 < h <= 2) and not (h > 4 and not h == 6)", "H >= 2 OR h<1 AND h>0.5", "h > 1 or h <= 1",
+             "(h >= 1 or h < 0.5) and (h < 3 or h >= 4) and not h == 2", "2.2 > h", "h >= -1"]
+    wrong = ["h > 1 and", "and h > 1", "h > 1 h < 2", "(h > 1", "h > 1)", "__import__('os')", "h > x", "", "hh > 1", "not", "h > 1 not h < 2", None]
+    rules_df = spark.createDataFrame([(k, t) for k, t in enumerate(texts + wrong)], "k int, condition_logic string")
+    bounds = {}
+    for r in rules.with_bounds(rules_df).collect():
+        bounds.setdefault(r.k, []).append(r)
+    import ast
+
+    def value(node, h):
+        """The text as a boolean formula over comparisons of h."""
+        if isinstance(node, ast.BoolOp):
+            parts = [value(v, h) for v in node.values]
+            return all(parts) if isinstance(node.op, ast.And) else any(parts)
+        if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.Not):
+            return not value(node.operand, h)
+        if isinstance(node, ast.Compare):
+            at = [h if isinstance(x, ast.Name) else ast.literal_eval(x) for x in (node.left, *node.comparators)]
+            test = {ast.Lt: lambda a, b: a < b, ast.LtE: lambda a, b: a <= b, ast.Gt: lambda a, b: a > b, ast.GtE: lambda a, b: a >= b,
+                    ast.Eq: lambda a, b: a == b}
+            return all(test[type(o)](a, b) for o, a, b in zip(node.ops, at, at[1:]))
+        return value(node.body, h)
+
+    for k, text in enumerate(texts):
+        rows = bounds[k]
+        assert all(r.parsed for r in rows), text
+        for h in (-2, -1, 0, 0.5, 0.7, 1, 1.1, 1.2, 1.5, 2, 2.1, 2.2, 2.5, 3, 3.5, 4, 4.5, 5, 6, 7):
+            inside = [r for r in rows if (r.lo is None or h > r.lo or (r.lo_incl and h == r.lo)) and (r.hi is None or h < r.hi or (r.hi_incl and h == r.hi))]
+            assert len(inside) == int(value(ast.parse(text.lower(), mode="eval"), h)), (text, h)
+    assert len(bounds[0]) == 2 and len(bounds[9]) == 1
+    for k in range(len(texts), len(texts) + len(wrong)):
+        assert [r.parsed for r in bounds[k]] == [False], (texts + wrong)[k]
