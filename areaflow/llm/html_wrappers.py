@@ -24,7 +24,6 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 CHROME_TAGS = frozenset("head title nav footer aside form button select option menu dialog fieldset label".split())
 MAIN_TAGS = frozenset(["article", "main"])
-HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 CHROME_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation "
     "menu breadcrumb breadcrumbs sidebar aside widget widgets footer masthead cookie cookies consent gdpr notice notices "
@@ -53,7 +52,19 @@ WHOLE_PAGE = frozenset(["", "html", "body"])
 MOST_TEXT = 0.9  # share of the open text that the main part holds, before it grows to what else is running text
 
 LONGEST_REPEAT = 6
-MIN_CONSTANT_PAGES = 8
+#: Marks with more words or letters name a page, not a template.
+MARK_WORDS, MARK_LETTERS = 2, 24
+
+
+def template_mark(word: str) -> str:
+    """A class or id as it stands in a path: digits as one, and of a long one, such as a title's slug, the judged words only."""
+    mark = DIGITS.sub("0", word.lower()).replace("/", "")
+    words = re.split(r"[-_]+", mark)
+    if len(words) <= MARK_WORDS and len(mark) <= MARK_LETTERS or re.sub(r"[-_]", "", mark) in MAIN_WORDS:
+        return mark
+    if words[0] in ("with", "has", "no"):
+        return ""
+    return "-".join(sorted(CHROME_WORDS.intersection(re.split(r"[^a-z]+", mark))))
 
 
 @dataclass
@@ -115,8 +126,7 @@ def blocks_of(page: str | None) -> list[Block]:
                 path.pop()
             if name not in VOID:
                 marks = [(k.lower(), a or b or c) for k, a, b, c in ATTRIBUTE.findall(m.group("attrs"))]
-                path.append((name, name + "".join(
-                    f".{DIGITS.sub('0', w.lower()).replace('/', '')}" for _, v in marks for w in v.split())))
+                path.append((name, name + "".join(f".{m}" for _, v in marks for w in v.split() if (m := template_mark(w)))))
     if at < len(page):
         add(page[at:])
     flush()
@@ -303,18 +313,15 @@ def main_slots(wrapper: list[Node]) -> tuple[list[tuple[str, bool]], dict[str, b
     """Of each slot in order whether it holds main text, and the same by path for blocks that no slot fits.
 
     Slots under an article element are main, less what is marked as something else.
-    Without one, the main part is found by where the text outside links is.
-    Slots with one text on all of many pages are template, if others differ.
+    Without one, the main part is found by where the text outside links is.  A text
+    that is the same on all pages is main text like any other.
     """
     slots = [s for n in wrapper for s in n.slots()]
     open_ = [s for s in slots if not is_chrome(s.path)]
     marked = [s for s in open_ if any(map(is_main, s.path.split("/")))]
     if not marked:
         marked = _fullest_part(open_)
-    varied = any(s.text is None for s in marked)
-    chosen = {id(s) for s in marked if not (
-        varied and s.text is not None and s.pages >= MIN_CONSTANT_PAGES
-        and s.path.rpartition("/")[2].split(".")[0] not in HEADINGS)}
+    chosen = {id(s) for s in marked}
     by_path: dict[str, bool] = {}
     for s in slots:
         by_path[s.path] = by_path.get(s.path, False) or id(s) in chosen

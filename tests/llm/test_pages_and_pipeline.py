@@ -3,6 +3,7 @@
 import os
 import sys
 
+import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(__file__))
@@ -127,3 +128,22 @@ def test_pipeline_stages(spark):
     assert ids.count() == mixed.count()
     for stage in (kept, once, near, mixed):
         assert stage.columns == docs.columns
+
+
+@pytest.mark.parametrize("n", [7, 8, 40])
+def test_text_that_all_pages_share_stays(n):
+    pages = [f"<nav>Menu</nav><article id=title-of-page-{'abcdefgh'[k % 8] * (k + 1)}><h1>Head {k}</h1><p class=lead>Standing first paragraph.</p><p>Body {k}</p></article>"
+             for k in range(n)]
+    wrapper = hw.page_expression(pages[0])
+    sizes = []
+    for page in pages[1:]:
+        wrapper = hw.align(wrapper, hw.page_expression(page))
+        sizes.append(sum(1 for node in wrapper for _ in node.slots()))
+    slots = hw.main_slots(wrapper)
+    assert [hw.extract(p, *slots) for p in pages] == [f"Head {k}\n\nStanding first paragraph.\n\nBody {k}" for k in range(n)]
+    assert len(set(sizes)) == 1  # slugs do not make the expression grow
+
+
+def test_marks_of_slugs_keep_their_judged_words():
+    assert [hw.template_mark(m) for m in ("Content", "col-12", "how-to-cook-rice", "site-nav-left-bar", "no-side-bar-menu", "article_body")] == [
+        "content", "col-0", "", "nav", "", "article_body"]
