@@ -73,7 +73,9 @@ def build_index(docs: DataFrame, items: DataFrame, words: int = WINDOW_WORDS, br
     stored = spark.read.parquet(folder)
     counts = stored.groupBy("term").agg(F.count("*").alias("n"))
     spread = windows.select("window", F.size("terms").alias("n_words"), F.posexplode("terms").alias("offset", "word"))
-    lists = spread.join(vocabulary, "word").join(counts, "term").groupBy("window", "n_words").agg(
+    # Counted terms are joined by word at once: a frequent word of the items is no key of a shuffle then.
+    counted = cut_lineage(vocabulary.join(counts, "term"))
+    lists = spread.join(_small(counted, broadcast_rows), "word").groupBy("window", "n_words").agg(
         F.sort_array(F.collect_list(F.struct("n", "term", "offset"))).alias("lists")).where(F.size("lists") == F.col("n_words"))
     holders = held.join(windows, "terms").select("window", "item_id")
     return PhraseIndex(stored, cut_lineage(lists), cut_lineage(holders), folder, broadcast_rows)
