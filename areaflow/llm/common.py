@@ -62,6 +62,24 @@ def ship_package(spark: SparkSession) -> None:
     sc._areaflow_shipped = True
 
 
+def first_by_hash(rows: DataFrame, hashed: Column, ties: list[str], n: int) -> DataFrame:
+    """The n rows of smallest hash (a 64-bit one), then ties, of any number of rows.
+
+    Rows are counted first, and those above a hash that leaves about 2 n are dropped
+    where they are, so that what comes together for the order does not grow with the
+    partitions.  If chance leaves fewer than n, the bound is raised.
+    """
+    rows = rows.withColumn("_hash", hashed)
+    total = rows.count()
+    share, low = min(1.0, 2 * n / max(total, 1)), rows
+    while share < 1.0:
+        low = rows.where(F.col("_hash") < int(-(1 << 63) + share * (1 << 64)))
+        if low.count() >= n:
+            break
+        share, low = min(1.0, 2 * share), rows
+    return low.orderBy("_hash", *ties).limit(n).drop("_hash")
+
+
 def keep_copies(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """Rows of docs, each as often as `decisions` (doc_id, body, copies; one row a document) says.
 

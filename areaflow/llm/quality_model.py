@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from areaflow.llm.common import ship_package, small_batches, table
+from areaflow.llm.common import first_by_hash, ship_package, small_batches, table
 from areaflow.session import cut_lineage
 
 FIT_ROWS = 8000  # trusted positives, and unlabelled texts, that the model is fitted on, at most
@@ -179,10 +179,9 @@ def score_quality(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS,
     learn = shapes.where(~F.col("held_out"))
     good = labels.where("quality = 1").select(F.col("doc_id").alias("_id")).where(
         F.crc32(F.col("_id").cast("string").cast("binary")) % 3 != 1).distinct()
-    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
 
     def first(rows: DataFrame) -> np.ndarray:
-        got = rows.orderBy(*order).select("shape").limit(fit_rows).collect()
+        got = first_by_hash(rows, F.xxhash64("doc_id", F.lit(seed)), ["doc_id"], fit_rows).select("shape").collect()
         return np.array([r["shape"] for r in got], float).reshape(-1, len(NAMES))
 
     positive = first(learn.join(good, F.col("doc_id") == F.col("_id"), "left_semi"))

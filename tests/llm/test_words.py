@@ -14,6 +14,7 @@ sys.path.insert(0, os.path.dirname(__file__))
 import brute  # noqa: E402
 
 from areaflow.llm import periodic_runs, phrase_index, spelling  # noqa: E402
+from areaflow.llm.common import first_by_hash  # noqa: E402
 
 SCHEMA = "doc_id bigint, text string, word string, n string, term string, pos string, runs string, window string, m string, row_id string"
 EXTRA = ["x"] * 8
@@ -254,3 +255,11 @@ def test_spelled_words_of_documents(spark):
 
 def test_no_words_no_groups(spark):
     assert spelling.variant_groups(spark.createDataFrame([], "word string, n bigint")).collect() == []
+
+
+def test_first_by_hash_equals_a_sort(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 40 as again").repartition(9)
+    key = F.xxhash64("again", F.lit(1))
+    want = sorted(rows.select(key.alias("h"), "id").collect())
+    for n in (0, 1, 30, 4000, 6000):
+        assert [r.id for r in first_by_hash(rows, key, ["id"], n).collect()] == [r.id for r in want[:n]]
