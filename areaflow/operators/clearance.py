@@ -200,12 +200,22 @@ def clearances(slabs: DataFrame, above: DataFrame, effective: DataFrame, next_le
         F.col("above_z") - top, F.col("low_z") - top, F.col("next_elevation") - top, F.lit(NO_STOREY_HEADROOM)))
 
 
+def sampled_slabs(open_slabs: DataFrame, crossing: DataFrame) -> DataFrame:
+    """Slabs under a crossing roof, as sample_heights reads them."""
+    s = open_slabs.select("model_id", "express_id", "ring", "minx", "maxx", "miny", "maxy", F.col("max_z").alias("top"))
+    return s.join(crossing.select("model_id", "express_id").distinct(), ["model_id", "express_id"], "left_semi")
+
+
+def sample_heights(used: DataFrame, faces: DataFrame) -> DataFrame:
+    """Sample points (column i, row j) of slabs with the clearance below the lowest face above; open sky drops out."""
+    points = even_points(used, SPLIT_GRID).select("model_id", "express_id", "i", "j", "px", "py", "top")
+    return ray_hits(points, faces).groupBy("model_id", "express_id", "i", "j").agg(
+        (F.min("z") - F.first("top")).alias("clear"))
+
+
 def split_samples(open_slabs: DataFrame, crossing: DataFrame, faces: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Share of sampled points with clearance at or above the threshold, for slabs under a crossing roof."""
-    s = open_slabs.select("model_id", "express_id", "ring", "minx", "maxx", "miny", "maxy", F.col("max_z").alias("top"))
-    used = s.join(crossing.select("model_id", "express_id").distinct(), ["model_id", "express_id"], "left_semi")
-    hits = ray_hits(even_points(used, SPLIT_GRID).select("model_id", "express_id", "px", "py", "top"), faces)
-    points = hits.groupBy("model_id", "express_id", "px", "py").agg((F.min("z") - F.first("top")).alias("clear"))
+    points = sample_heights(sampled_slabs(open_slabs, crossing), faces)
     return points.groupBy("model_id", "express_id").agg(
         F.count(F.lit(1)).alias("n_points"), F.count_if(F.col("clear") >= threshold).alias("n_high"))
 

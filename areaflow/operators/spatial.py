@@ -107,12 +107,12 @@ def grid_points(df: DataFrame, step: float) -> DataFrame:
 
 
 def even_points(df: DataFrame, n: int) -> DataFrame:
-    """n x n evenly spaced points over the box of the ring, those strictly inside (px, py)."""
+    """n x n evenly spaced points over the box of the ring, those strictly inside (px, py), with their column i and row j."""
     pts = df.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
         "j", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pts = pts.withColumn("px", F.col("minx") + F.col("i") * (F.col("maxx") - F.col("minx")) / (n - 1)).withColumn(
         "py", F.col("miny") + F.col("j") * (F.col("maxy") - F.col("miny")) / (n - 1))
-    return pts.where(strictly_inside(F.col("px"), F.col("py"), F.col("ring"))).drop("i", "j")
+    return pts.where(strictly_inside(F.col("px"), F.col("py"), F.col("ring")))
 
 
 def group_hulls(points: DataFrame, keys: list[str], chunk: int = HULL_CHUNK) -> DataFrame:

@@ -23,10 +23,14 @@ CTES.update({
         FROM box a JOIN home h ON h.express_id = a.express_id LEFT JOIN sab s ON s.express_id = a.express_id
         LEFT JOIN (SELECT express_id, min(eff) AS e FROM cnd GROUP BY 1) m ON m.express_id = a.express_id WHERE a.ifc_type = 'IfcSlab'"""),
     "crs": (["cnd"], "SELECT * FROM cnd WHERE z0 <= top + 2.2::DOUBLE AND top + 2.2::DOUBLE <= z1"),
-    "smp": (["crs", "cnd_all"], """SELECT express_id, count(*) AS n, count(*) FILTER (m - top >= 2.2::DOUBLE) AS hi FROM (
-        SELECT express_id, top, i, j, min(eff) AS m FROM (
-          SELECT p.express_id, p.top, i, j, c.eff FROM (SELECT DISTINCT express_id, top, gx, gy, gw, gd FROM crs) p, unnest(generate_series(1, 18)) t(i), unnest(generate_series(1, 18)) u(j), cnd_all c
-          WHERE c.s_id = p.express_id AND p.gx + i*p.gw/19.0 BETWEEN c.ox AND c.ox+c.ow AND p.gy + j*p.gd/19.0 BETWEEN c.oy AND c.oy+c.od) GROUP BY 1, 2, 3, 4) GROUP BY 1"""),
+    "cell": (["crs", "cnd_all"], """SELECT model_id, express_id, i, j, gw*gd/4.0::DOUBLE AS slab_area, min(eff) - top AS c, min(eff) - top >= 2.2::DOUBLE AS hi FROM (
+          SELECT p.*, i, j, c.eff FROM (SELECT DISTINCT model_id, express_id, top, gx, gy, gw, gd FROM crs) p, unnest(generate_series(1, 18)) t(i), unnest(generate_series(1, 18)) u(j), cnd_all c
+          WHERE c.s_id = p.express_id AND p.gx + i*p.gw/19.0 BETWEEN c.ox AND c.ox+c.ow AND p.gy + j*p.gd/19.0 BETWEEN c.oy AND c.oy+c.od) GROUP BY model_id, express_id, i, j, gw, gd, top"""),
+    "smp": (["cell"], "SELECT express_id, count(*) AS n, count(*) FILTER (hi) AS hi FROM cell GROUP BY 1"),
+    "stretch": (["cell"], """SELECT *, row_number() OVER (ORDER BY express_id, j, i0) AS r FROM (SELECT model_id, express_id, any_value(slab_area) AS slab_area, j, hi, min(i) AS i0, max(i) AS i1,
+        count(*) AS n, min(c) AS c0, max(c) AS c1 FROM (SELECT *, i - row_number() OVER (PARTITION BY express_id, j, hi ORDER BY i) AS g FROM cell) GROUP BY model_id, express_id, j, hi, g)"""),
+    "joins": (["stretch"], """SELECT a.r AS a, b.r AS b FROM stretch a JOIN stretch b ON a.express_id = b.express_id AND a.hi = b.hi AND b.j IN (a.j - 1, a.j + 1) AND a.i0 <= b.i1 AND b.i0 <= a.i1"""),
+    "reach": (["joins"], "SELECT r AS r0, r FROM stretch UNION SELECT r0, b FROM reach JOIN joins ON a = reach.r"),
     "cnd_all": (["cnd", "box"], "SELECT c.express_id AS s_id, c.eff, o.gx AS ox, o.gy AS oy, o.gw AS ow, o.gd AS od FROM cnd c JOIN box o ON o.express_id = c.other"),
     "fold": (["alignment", "review_actions"], """SELECT a.model_id, a.guid, count(*) AS n, count(*) FILTER (op = 'update') AS u, arg_max(new_type, seq) FILTER (op = 'update') AS t,
         coalesce(string_agg(' [Manual Edit: ' || reason || ']', '' ORDER BY seq) FILTER (op = 'update' AND reason <> ''), '') AS notes
@@ -61,6 +65,9 @@ ORACLES = {
     "section_crossing": with_ctes(f"SELECT model_id, express_id, other, {rnd('z0', 4)} AS min_z, {rnd('z1', 4)} AS max_z FROM crs", "crs"),
     "clearance_class": with_ctes(f"""SELECT model_id, c.express_id, storey_id, CASE WHEN hi > 0 AND hi < n THEN 'variable' WHEN c >= 2.2::DOUBLE THEN 'high' ELSE 'low' END AS height_class,
         {rnd('hi/n', 4)} AS high_share FROM clr c LEFT JOIN smp s ON s.express_id = c.express_id""", "clr", "smp"),
+    "height_regions": with_ctes(f"""SELECT model_id, express_id, min(i0*20 + j) AS region, CASE WHEN hi THEN 'high' ELSE 'low' END AS height_class, sum(n)::BIGINT AS n_cells,
+        {rnd('any_value(slab_area)/324*sum(n)', 4)} AS area, {rnd('min(c0)', 4)} AS lowest, {rnd('max(c1)', 4)} AS highest
+        FROM stretch JOIN (SELECT r, min(r0) AS g FROM reach GROUP BY 1) USING (r) GROUP BY model_id, express_id, hi, g""", "stretch", "reach"),
     "element_factor": with_ctes(f"SELECT model_id, guid, {_FACTOR} AS calc_factor, status = 'NEEDS_REVIEW' AS is_dirty FROM alignment", "alignment"),
     "manual_factor": with_ctes(f"SELECT seq, new_type, {_MF.format(t='new_type')} AS manual_factor FROM review_actions WHERE op = 'update'", "review_actions"),
     "element_view": with_ctes(f"""SELECT b.model_id, b.guid, b.express_id, a.ifc_type AS type, CASE WHEN a.guid IS NULL THEN 0.0 ELSE {_FACTOR} END AS calc_factor,

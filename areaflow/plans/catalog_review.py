@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from areaflow.functions.numbers import rounded
-from areaflow.operators import assign, classify, clearance, hierarchy, review, rings, storeys
+from areaflow.operators import assign, classify, clearance, hierarchy, regions, review, rings, storeys
 from areaflow.operators.ordered import with_neighbours
 from areaflow.plans.catalog_features import element_features
 from areaflow.session import checkpoint_dir, cut_lineage
@@ -111,6 +111,14 @@ def clearance_class(spark: SparkSession, folder: str) -> DataFrame:
         *SLAB, "storey_id", "height_class", rounded("high_share", 4).alias("high_share"))
 
 
+def height_regions(spark: SparkSession, folder: str) -> DataFrame:
+    h = Headroom(Buildings(spark, folder))
+    cells = regions.region_cells(h.open, clearance.section_crossing(h.candidates), h.faces)
+    return regions.height_regions(cells, h.open).select(
+        *SLAB, "region", "height_class", "n_cells", rounded("area", 4).alias("area"), rounded("lowest", 4).alias("lowest"),
+        rounded("highest", 4).alias("highest"))
+
+
 def element_factor(spark: SparkSession, folder: str) -> DataFrame:
     return Buildings(spark, folder).alignment().select(
         "model_id", "guid", classify.element_factor(F.col("semantic_category"), F.col("manual_factor")).alias("calc_factor"),
@@ -211,5 +219,5 @@ def spatial_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     mesh_footprint, footprint_ring, section_lines, slab_above, nearest_above, ray_height, section_crossing, clearance_class,
-    element_factor, manual_factor, element_view, review_fold, rejected_actions, queue_after_review, review_counts,
+    height_regions,    element_factor, manual_factor, element_view, review_fold, rejected_actions, queue_after_review, review_counts,
     review_stream, align_stream, spatial_tree)} | {"clearance": clearance_heights}
