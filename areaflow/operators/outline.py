@@ -70,12 +70,27 @@ def largest_part(parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def covered_spans(gaps: DataFrame, keys: list[str], covered: Column) -> DataFrame:
-    """Covered gaps of a strip merged into spans, each with a stable id."""
+    """Covered gaps of a strip merged into spans, each with the id of its bar."""
     strip = [*keys, "tile", "a", "b"]
     up = Window.partitionBy(*strip).orderBy(F.col("ya") + F.col("yb"), "ya")
     starts = F.when(covered & ~F.coalesce(F.lag(covered).over(up), F.lit(False)), 1).otherwise(0)
     runs = gaps.select(*strip, "ya", "yb", "ta", "tb", covered.alias("_in"), starts.alias("_s"))
-    return merge_runs(runs, strip, keys, F.col("_in"), up)
+    return cut_lineage(with_bars(merge_runs(runs, strip, keys, F.col("_in"), up), keys))
+
+
+def with_bars(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Add `bar`, the same id for level spans of one height that follow each other from strip to strip.
+
+    A bar is connected by itself, so components need one node for it instead of one for
+    each strip.  Ids are given after the shuffle, in the stage that also reads them.
+    """
+    level = (F.col("ya") == F.col("yb")) & (F.col("ta") == F.col("tb"))
+    same = [*keys, "ya", "yb", "ta", "tb"]
+    along = Window.partitionBy(*same).orderBy("a")
+    follows = level & (F.lag("b").over(along) == F.col("a"))
+    runs = spans.withColumn("_s", F.when(follows, 0).otherwise(1)).withColumn(
+        "_bar", F.sum("_s").over(along.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_id", F.monotonically_increasing_id())
+    return runs.withColumn("bar", F.min("_id").over(Window.partitionBy(*same, "_bar"))).drop("_s", "_bar", "_id")
 
 
 def merge_runs(rows: DataFrame, strip: list[str], keys: list[str], use: Column, up) -> DataFrame:
@@ -86,7 +101,7 @@ def merge_runs(rows: DataFrame, strip: list[str], keys: list[str], use: Column,
         F.min_by("ya", low).alias("ya"), F.min_by("yb", low).alias("yb"),
         F.max_by("ta", top).alias("ta"), F.max_by("tb", top).alias("tb"))
     thick = (F.col("ta") - F.col("ya") > THIN) | (F.col("tb") - F.col("yb") > THIN)
-    return cut_lineage(spans.where(thick).select(*keys, *SIDES).withColumn("id", F.monotonically_increasing_id()))
+    return spans.where(thick).select(*keys, *SIDES)
 
 
 def united_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
@@ -96,19 +111,20 @@ def united_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     up = Window.partitionBy(*strip).orderBy(low, "ya", top)
     reach = F.max(top).over(up.rowsBetween(Window.unboundedPreceding, -1))
     starts = F.when(reach.isNull() | (low > reach + THIN), 1).otherwise(0)
-    return merge_runs(spans.select(*strip, "ya", "yb", "ta", "tb", starts.alias("_s")), strip, keys, F.lit(True), up)
+    return cut_lineage(merge_runs(spans.select(*strip, "ya", "yb", "ta", "tb", starts.alias("_s")), strip, keys, F.lit(True), up))
 
 
 def span_links(spans: DataFrame, keys: list[str]) -> DataFrame:
-    """Spans of adjacent strips that share a piece of their common side (a corner is not enough)."""
-    left = spans.select(*keys, F.col("b").alias("x"), F.col("id").alias("u"), F.col("yb").alias("u_lo"), F.col("tb").alias("u_hi"))
-    right = spans.select(*keys, F.col("a").alias("x"), F.col("id").alias("v"), F.col("ya").alias("v_lo"), F.col("ta").alias("v_hi"))
+    """Bars with spans of adjacent strips that share a piece of their common side (a corner is not enough)."""
+    left = spans.select(*keys, F.col("b").alias("x"), F.col("bar").alias("u"), F.col("yb").alias("u_lo"), F.col("tb").alias("u_hi"))
+    right = spans.select(*keys, F.col("a").alias("x"), F.col("bar").alias("v"), F.col("ya").alias("v_lo"), F.col("ta").alias("v_hi"))
     share = F.least("u_hi", "v_hi") - F.greatest("u_lo", "v_lo") > THIN
-    return left.join(right, [*keys, "x"]).where(share).select(*keys, "u", "v")
+    return left.join(right, [*keys, "x"]).where(share & (F.col("u") != F.col("v"))).select(*keys, "u", "v")
 
 
 def label_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
-    return components(spans, span_links(spans, keys))
+    """Spans (with_bars) with `label`, the same for all spans of a part."""
+    return components(spans.withColumnRenamed("bar", "id"), span_links(spans, keys))
 
 
 def part_areas(labelled: DataFrame, keys: list[str]) -> DataFrame:
@@ -154,11 +170,20 @@ def ring_border(spans: DataFrame, keys: list[str]) -> DataFrame:
     return rings.closed_edges(edges, keys, RING_DIGITS)
 
 
+def bars(spans: DataFrame, keys: list[str]) -> DataFrame:
+    """Labelled spans with those of a bar joined into one: the same region, with the strips' ends gone."""
+    return spans.groupBy(*keys, F.col("id"), "ya", "yb", "ta", "tb").agg(F.min("a").alias("a"), F.max("b").alias("b")).drop("id")
+
+
 def erode(spans: DataFrame, keys: list[str], distance: float, k: int, tile: float | None) -> DataFrame:
-    """Region minus the capsules of its border edges, as gaps of a new sweep."""
+    """Region minus the capsules of its border edges, as gaps of a new sweep.
+
+    Straight borders are joined first: a capsule for each piece would cover the same and
+    add its ends to the strips of the sweep.
+    """
     ends = F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))
-    capsules = border_edges(spans, keys).distinct().select(
-        *keys, F.lit("b").alias("layer"), F.lit(0).alias("poly_id"), dilate(ends, distance, k).alias("ring"))
+    border = rings.straightened(border_edges(spans, keys).distinct(), keys)
+    capsules = border.select(*keys, F.lit("b").alias("layer"), F.lit(0).alias("poly_id"), dilate(ends, distance, k).alias("ring"))
     edges = span_edges(spans, keys, "a").unionByName(overlay.ring_edges(capsules, keys).drop("poly_id"))
     return overlay.sweep(edges, keys, tile)
 
@@ -168,8 +193,7 @@ def hole_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
     up = Window.partitionBy(*keys, "a", "b").orderBy(F.col("ya") + F.col("yb"), "ya")
     gaps = spans.select(*keys, "a", "b", F.col("ta").alias("ya"), F.col("tb").alias("yb"),
                         F.lead("ya").over(up).alias("ta"), F.lead("yb").over(up).alias("tb")).where("ta is not null")
-    holes = cut_lineage(gaps.where((F.col("ta") - F.col("ya") > THIN) | (F.col("tb") - F.col("yb") > THIN)).withColumn(
-        "id", F.monotonically_increasing_id()))
+    holes = cut_lineage(with_bars(gaps.where((F.col("ta") - F.col("ya") > THIN) | (F.col("tb") - F.col("yb") > THIN)), keys))
     if holes.isEmpty():
         return holes.select(*keys, *SIDES)
     labelled = label_spans(holes, keys)
@@ -211,8 +235,7 @@ def enclosed_outline(walls: DataFrame, keys: list[str], distance: float = BUFFER
     merged = covered_spans(overlay.sweep(overlay.ring_edges(wide, keys), keys, tile), keys, F.col("da") > 0)
     labelled = label_spans(merged, keys)
     main = largest_part(part_areas(labelled, keys), keys).select(*keys, F.col("part").alias("label"))
-    main_spans = labelled.join(main, [*keys, "label"], "left_semi").select(*keys, *SIDES)
-    main_spans = cut_lineage(main_spans)
+    main_spans = cut_lineage(bars(labelled.join(main, [*keys, "label"], "left_semi"), keys))
     narrow = covered_spans(erode(main_spans, keys, distance, k, tile), keys, (F.col("da") > 0) & (F.col("db") == 0))
     parts = label_spans(narrow, keys)
     kept = sliver_filter(part_areas(parts, keys), keys).select(*keys, F.col("part").alias("label"))

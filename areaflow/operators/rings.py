@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from areaflow.functions.geometry import RING, area, cross, let, signed_area, wkt
@@ -39,6 +39,27 @@ def closed_edges(edges: DataFrame, keys: list[str], digits: int = 6) -> DataFram
         ("x1", "xa", "xb"), ("y1", "ya", "yb"), ("x2", "xb", "xa"), ("y2", "yb", "ya"))])
 
 
+def straightened(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """Edges along an axis that follow one another as one edge each; the rings are the same, with fewer steps around them.
+
+    Only a point that a single edge leaves is passed: where borders meet, all of them keep their ends.
+    """
+    level, upright = F.col("y1") == F.col("y2"), F.col("x1") == F.col("x2")
+    kind = F.when(level, F.signum(F.col("x2") - F.col("x1"))).when(upright, 2 * F.signum(F.col("y2") - F.col("y1"))).otherwise(0.0)
+    along = F.when(level, F.col("_kind") * F.col("x1")).otherwise(F.signum("_kind") * F.col("y1"))
+    leaving = F.count(F.lit(1)).over(Window.partitionBy(*keys, "x1", "y1"))
+    line = [*keys, "_kind", "_line"]
+    up = Window.partitionBy(*line).orderBy("_at")
+    rows = edges.select(*keys, *POINTS, leaving.alias("_n"), kind.alias("_kind")).withColumns(
+        {"_line": F.when(level, F.col("y1")).otherwise(F.col("x1")), "_at": along})
+    follows = (F.col("_kind") != 0) & (F.col("_n") == 1) & (F.lag("x2").over(up) == F.col("x1")) & (F.lag("y2").over(up) == F.col("y1"))
+    runs = rows.withColumn("_s", F.when(follows, 0).otherwise(1)).withColumn(
+        "_run", F.sum("_s").over(up.rowsBetween(Window.unboundedPreceding, 0)))
+    return runs.groupBy(*line, "_run").agg(
+        F.min_by("x1", "_at").alias("x1"), F.min_by("y1", "_at").alias("y1"),
+        F.max_by("x2", "_at").alias("x2"), F.max_by("y2", "_at").alias("y2")).select(*keys, *POINTS)
+
+
 def successors(edges: DataFrame, keys: list[str], pinches: DataFrame | None = None) -> DataFrame:
     """id, nxt: the edge that goes on where an edge (keys, id, x1, y1, x2, y2) ends.
 
@@ -101,7 +122,7 @@ def rings(edges: DataFrame, keys: list[str]) -> DataFrame:
     A ring that comes to a point twice is cut there into two, by another choice of the
     next edge at that point.
     """
-    edges = cut_lineage(edges)
+    edges = cut_lineage(straightened(edges, keys))
     walked = ranked(edges, keys)
     pinches = walked.groupBy(*keys, F.col("first.id").alias("_ring"), F.col("x1").alias("x2"), F.col("y1").alias("y2")).agg(
         F.count("*").alias("_n")).where("_n > 1").select(*keys, "x2", "y2").distinct()
